@@ -33,6 +33,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(common.table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_rules
+
+    return quality_rules.judge(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op7_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import importance
+
+    return importance.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -46,7 +58,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_shard_minimax, op2_secret_scan, op3_token_files, op4_simhash, op9_mix_sources, op10_warc)}
+    return {f.__name__: f for f in (op1_shard_minimax, op2_secret_scan, op3_token_files, op4_simhash, op6_quality_rules, op7_importance, op9_mix_sources, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
