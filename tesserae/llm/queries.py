@@ -45,6 +45,12 @@ def op7_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    return suffix_dedup.measure(common.table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -58,7 +64,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_shard_minimax, op2_secret_scan, op3_token_files, op4_simhash, op6_quality_rules, op7_importance, op9_mix_sources, op10_warc)}
+    return {f.__name__: f for f in (op1_shard_minimax, op2_secret_scan, op3_token_files, op4_simhash, op6_quality_rules, op7_importance, op8_suffix_dedup, op9_mix_sources, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
