@@ -33,6 +33,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(common.table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_rules
 
@@ -64,7 +70,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_shard_minimax, op2_secret_scan, op3_token_files, op4_simhash, op6_quality_rules, op7_importance, op8_suffix_dedup, op9_mix_sources, op10_warc)}
+    return {f.__name__: f for f in (op1_shard_minimax, op2_secret_scan, op3_token_files, op4_simhash, op5_decontaminate, op6_quality_rules, op7_importance, op8_suffix_dedup, op9_mix_sources, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
