@@ -59,7 +59,7 @@ def targets(sources: DataFrame, weights: Sequence[float], limit: float) -> DataF
     return final.select("source", "source_size", "weight", target.alias("target"))
 
 
-def drawn(docs: DataFrame, seed: int, weight: Column | None = None) -> DataFrame:
+def drawn(docs: DataFrame, seed: int, weight: Column | None = None, *more: Column) -> DataFrame:
     """doc_id, source, size and the place of the exponential key in [0, 1) for every row.
 
     u is a hash of the document, so reruns agree. 1 - u ** (1 / weight) has the order of -ln(u) / weight.
@@ -72,6 +72,7 @@ def drawn(docs: DataFrame, seed: int, weight: Column | None = None) -> DataFrame
         F.col("source").cast("string").alias("source"),
         size.alias("size"),
         (F.lit(1.0) - F.pow(u, F.lit(1.0) / (quality(text, size) if weight is None else weight))).alias("place"),
+        *more,
     )
 
 
@@ -120,3 +121,22 @@ def apply_mix(rows: DataFrame, weights: Sequence[float], limit: int, bins: int)
     both = rest.unionByName(edge)
     taken = (F.col("epochs") + F.col("chosen").cast("long")) * F.col("size")
     return both.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", *extra)
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: int = 3, seed: int = 7, bins: int = 256) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix takes it.
+
+    A row is found again by its doc_id, source and the MD5 of its text. Rows without words are not taken.
+    """
+    mark = F.md5(common.text_of(docs).cast("binary"))
+    rows = common.materialize(drawn(docs, seed, None, mark.alias("mark")), "mix-rows")
+    got = apply_mix(rows, weights, limit, bins).filter("size > 0 and taken > 0")
+    # rows that agree in all of this are as one, taken as often as all of them together
+    own, nth, all_, n = common.unused(docs, "mark", "nth", "taken_all", "taken_rows")
+    often = got.groupBy(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("mark").alias("t_mark")).agg(F.sum(F.expr("taken div size")).alias(all_), F.count("*").alias(n))
+    often = common.materialize(often, "mix-taken")
+    keyed = docs.withColumn(own, mark)
+    same = (keyed[own] == often["t_mark"]) & keyed["doc_id"].cast("long").eqNullSafe(often["t_id"]) & keyed["source"].cast("string").eqNullSafe(often["t_source"])
+    met = keyed.join(often, same).select(*[keyed[c] for c in keyed.columns], all_, n)
+    one = met.filter(F.col(n) == 1).unionByName(met.filter(F.col(n) > 1).dropDuplicates([own, "doc_id", "source"]))
+    return one.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(all_).cast("int")))).select(*docs.columns)

@@ -231,3 +231,22 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int =
     """doc_id, fingerprint and component_id of every row."""
     rows = common.materialize(fingerprints(docs, shingle, seed), "simhash-rows")
     return rows.join(grouped(rows, radius), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of docs, with all their columns, that are the first of their group: by doc_id, nulls last, then by the MD5 of the text.
+
+    Of rows that agree in both, one stays.
+    """
+    mark = F.md5(common.text_of(docs).cast("binary"))
+    rows = common.materialize(fingerprints(docs, shingle, seed, mark.alias("mark")), "simhash-rows")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
+    fps = common.materialize(rows.groupBy("fp").agg(best.alias("best"), F.min("doc_id").alias("first")), "fingerprints")
+    found = components(links(fps, radius))
+    rooted = fps.join(found, fps["fp"] == found["node"], "left").select(F.coalesce("root", "fp").alias("root"), "best")
+    stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("k_id"), F.col("best.mark").alias("k_mark"))
+    stay = common.materialize(stay, "simhash-first")
+    (own,) = common.unused(docs, "mark")
+    keyed = docs.withColumn(own, mark)
+    some = keyed.join(stay, (keyed[own] == stay["k_mark"]) & keyed["doc_id"].cast("long").eqNullSafe(stay["k_id"]), "left_semi")
+    return some.dropDuplicates(["doc_id", own]).drop(own)
