@@ -2,10 +2,315 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserae.functions import signatures, text
+from tesserae.operators import duplicates, lookup, maintenance, names, patterns, report, rounds, statistics
+from tesserae.plans.oracles import ORACLES
+from tesserae.sources import corpus
+from tesserae.streaming import counters
+
+
+def q01_file_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return statistics.file_statistics(corpus.sources(spark, sf))
+
+
+def q02_keyed_counters(spark, sf):
+    s = corpus.sources(spark, sf)
+    one = F.lit(1)
+    return statistics.counters(s, [(F.concat(F.lit("segment/"), "segment"), one), (F.concat(F.lit("mime/"), "mime"), one), (F.concat(F.lit("size/"), "mime"), F.col("size_bytes")), (F.lit("total"), one)])
+
+
+def q03_element_statistics(spark, sf):
+    return statistics.element_statistics(corpus.features(spark, sf))
+
+
+def _signed(spark, sf):
+    f = corpus.features(spark, sf)
+    return f.withColumn("signature", text.signature(F.col("kind"), F.col("class_fqn"), F.col("simple_name"), F.lit("()V")))
+
+
+def q04_signatures(spark, sf):
+    parts = F.split("signature", ":")
+    return _signed(spark, sf).select("decl_pos", "signature", F.size(parts).cast("long").alias("n_parts"), F.get(parts, F.lit(1)).alias("owner"), F.get(parts, F.lit(2)).alias("name"), text.top_level(F.col("signature")).alias("top_level"))
+
+
+def _used(spark, sf):
+    return corpus.usages(spark, sf).join(_signed(spark, sf).select("decl_pos", "signature"), "decl_pos").select("file", "signature", "line")
+
+
+def q05_distinct_usages(spark, sf):
+    return _used(spark, sf).select("file", "signature").distinct().groupBy("file").agg(F.count("*").alias("n_signatures"))
+
+
+def q06_references(spark, sf):
+    docs = corpus.sources(spark, sf).select(F.col("relative_path").alias("file"), "content")
+    urls = corpus.resources(spark, sf).select(F.col("relative_path").alias("file"), F.col("relative_path").alias("content"))
+    return patterns.references(docs.unionByName(urls), "file", "content")
+
+
+def q07_categories(spark, sf):
+    return corpus.sources(spark, sf).groupBy("segment").agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("index_size"), F.countDistinct("mime").alias("n_mimes")).withColumn("display_name", F.concat(F.upper(F.substring("segment", 1, 1)), F.expr("substring(segment, 2)")))
+
+
+MARKERS = (r"^(.*)/en/[0-9]+", r"^(.*)/de/[0-9]+")
+
+
+def q08_projects(spark, sf):
+    path = F.regexp_replace("relative_path", "^https?://", "")
+    urls = corpus.resources(spark, sf).select(path.alias("path")).filter(~F.exists(F.split("path", "/"), lambda c: c.rlike(r"^m\..*$")))
+    found = F.coalesce(*[F.when(F.col("path").rlike(m), F.regexp_extract("path", m, 1)) for m in MARKERS])
+    return urls.select(found.alias("project")).filter("project is not null").distinct()
+
+
+def _named(spark, sf, query):
+    f = corpus.features(spark, sf)
+    return f.filter(names.matches(query, F.col("simple_name"), F.col("simple_name_lower")))
+
+
+def q09_prefix_search(spark, sf):
+    exact, loose = names.infer("Sm", case_sensitive=True), names.infer("sm")
+    a = _named(spark, sf, exact).select(F.lit("prefix").alias("search"), "decl_pos", "simple_name")
+    return a.unionByName(_named(spark, sf, loose).select(F.lit("any case").alias("search"), "decl_pos", "simple_name"))
+
+
+def q10_wildcard_search(spark, sf):
+    return _named(spark, sf, names.infer("r*g?t")).select("decl_pos", "simple_name")
+
+
+def q11_camel_search(spark, sf):
+    hits = _named(spark, sf, names.infer("RW"))
+    kind = F.when(F.col("kind").isin("CLASS", "INTERFACE"), "CLASS").otherwise(F.col("kind"))
+    return hits.select("decl_pos", "simple_name", kind.alias("kind"), F.col("class_fqn").alias("enclosing"))
+
+
+def q12_binary_names(spark, sf):
+    fqn = F.concat("class_fqn", F.lit("$"), "simple_name")
+    f = corpus.features(spark, sf).select("decl_pos", fqn.alias("fqn"))
+    return f.select("decl_pos", names.simple_of(F.col("fqn")).alias("simple"), names.outer_of(F.col("fqn")).alias("outer_name"), names.package_of(F.col("fqn")).alias("package"), names.file_of(F.col("fqn"), F.lit("src/")).alias("file"))
+
+
+PATTERNS = [
+    patterns.Pattern("of the", (("of", "the"),), exact=r"\bof the\b"),
+    patterns.Pattern("de la", (("de", "la"),), types=("es",), exact=r"\bde la\b"),
+    patterns.Pattern("the and of", (("the",), ("and",), ("of",)), types=("en",), exact="the"),
+]
+
+
+def _pattern_docs(spark, sf):
+    d = corpus.table(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("path"), patterns.joined(F.col("text")).alias("tokens"), F.array("lang", "source").alias("types"), (F.col("doc_id") % 10 != 0).alias("attributed"), "text")
+
+
+def q13_phrase_search(spark, sf):
+    return _pattern_docs(spark, sf).filter(patterns.has_phrase(F.col("tokens"), ("of", "the"))).select("path")
+
+
+def q14_pattern_frequencies(spark, sf):
+    return patterns.search(_pattern_docs(spark, sf), PATTERNS)
+
+
+def q15_validated_patterns(spark, sf):
+    return patterns.validated(_pattern_docs(spark, sf), PATTERNS[0], "text")
+
+
+def q16_kind_groups(spark, sf):
+    group = F.when(F.col("kind").isin("CLASS", "INTERFACE"), "types").when(F.col("kind").isin("FIELD", "ENUM_CONSTANT"), "fields").when(F.col("kind").isin("METHOD"), "methods").otherwise("others")
+    return corpus.features(spark, sf).groupBy(group.alias("kind_group"), "class_fqn").agg(F.count("*").alias("n"))
+
+
+def _roots(spark, sf):
+    s = corpus.sources(spark, sf)
+    each = s.select(F.explode(F.array(F.concat("segment", F.lit("/")), F.concat("segment", F.lit("/"), "mime", F.lit("/")))).alias("root")).distinct()
+    return each.withColumn("ordinal", F.length("root"))
+
+
+def q17_source_roots(spark, sf):
+    s, roots = corpus.sources(spark, sf), _roots(spark, sf)
+    every = lookup.by_root(s, "relative_path", roots).groupBy("root").agg(F.count("*").alias("n_all"))
+    best = lookup.first_root(s.select("relative_path"), "relative_path", roots, "relative_path").groupBy("root").agg(F.count("*").alias("n_longest"))
+    return every.join(best, "root", "left").select("root", "n_all", F.coalesce("n_longest", F.lit(0)).alias("n_longest"))
+
+
+def q18_usages(spark, sf):
+    signed, used = _signed(spark, sf), _used(spark, sf)
+    old = F.when(F.col("kind").isin("FIELD", "ENUM_CONSTANT"), F.concat("signature", F.lit(":I"))).otherwise(F.col("signature"))
+    wanted = signed.filter("decl_pos % 7 = 0").select(text.normalized(old).alias("signature"), F.concat_ws(".", "class_fqn", "simple_name").alias("reference"), F.concat(F.lit("old:"), "signature").alias("legacy")).distinct()
+    docs = signed.select(F.concat_ws(".", "class_fqn", "simple_name").alias("signature"), F.col("decl_pos").alias("file")).filter("file % 5 = 0")
+    older = used.select(F.concat(F.lit("old:"), "signature").alias("signature"), "file").filter("file % 3 = 0")
+    found = lookup.usages_of(wanted, used.select("signature", "file").unionByName(older), docs)
+    return found.groupBy("signature", "found").agg(F.count("*").alias("n"), F.countDistinct("file").alias("n_files"))
+
+
+def q19_unused(spark, sf):
+    used = corpus.usages(spark, sf).filter("line = 1")
+    return lookup.unused(corpus.features(spark, sf), used, "decl_pos").select("decl_pos", "class_fqn", "simple_name")
+
+
+def q20_duplicate_hashes(spark, sf):
+    found = duplicates.single(corpus.table(spark, sf, "documents"), "doc_id", "text")
+    return duplicates.duplicated(found)
+
+
+def q21_duplicate_groups(spark, sf):
+    runs = rounds.checkpointed(duplicates.fragments(corpus.table(spark, sf, "documents"), "doc_id", "text"))
+    page = duplicates.ranked(duplicates.accepted(runs), 0)
+    return page.select("hash", "value", "n_files", "n_spans", F.col("first.path").alias("path"), F.col("first.start_off").alias("start_off"), F.col("first.end_off").alias("end_off"))
+
+
+def q22_hashes_by_category(spark, sf):
+    d = corpus.table(spark, sf, "documents")
+    found = duplicates.single(d.select(F.struct("doc_id", "source").alias("k"), "text"), "k", "text").select("hash", "value", F.col("path.doc_id").alias("path"), F.col("path.source").alias("segment"))
+    asked = duplicates.ranked(duplicates.duplicated(found), 0, 20).select("hash")
+    asked = rounds.checkpointed(asked.unionByName(spark.createDataFrame([("00000000:0",)], "hash string")))
+    return duplicates.by_category(asked, d.select(F.col("source").alias("segment")), found)
+
+
+def q23_usage_and_subtypes(spark, sf):
+    used = corpus.usages(spark, sf).filter("decl_pos % 50 = 0").groupBy("file").agg(F.count("*").alias("n_usages"))
+    sub = corpus.usages(spark, sf).filter("decl_pos % 50 = 1").groupBy("file").agg(F.sort_array(F.collect_set("decl_pos")).alias("subs"))
+    return used.join(sub, "file", "full_outer").select("file", F.col("n_usages").isNotNull().alias("usage"), F.coalesce("n_usages", F.lit(0)).alias("n_usages"), F.coalesce(F.array_join(F.transform("subs", lambda x: x.cast("string")), ","), F.lit("")).alias("subtypes"))
+
+
+def q24_classpath(spark, sf):
+    f = corpus.features(spark, sf)
+    wanted = f.select(F.col("simple_name").alias("name")).distinct()
+    files = f.select(F.col("simple_name").alias("name"), F.col("class_fqn").alias("entry")).distinct()
+    order = f.select("class_fqn").distinct().select(F.explode(F.array(F.col("class_fqn"), F.concat("class_fqn", F.lit(".jar")))).alias("entry")).withColumn("ordinal", F.conv(F.substring(F.md5("entry"), 1, 8), 16, 10).cast("long"))
+    return lookup.resolve(wanted, order, files)
+
+
+def q25_random_files(spark, sf):
+    s = corpus.sources(spark, sf)
+    return s.select("relative_path", F.md5(F.concat("relative_path", F.lit(":42"))).alias("mark")).orderBy("mark", "relative_path").limit(30)
+
+
+def q26_decoded_signatures(spark, sf):
+    f = corpus.features(spark, sf)
+    kinds = {"METHOD": "<T:Ljava/lang/String;>(Ljava/util/Map<Ljava/util/List<Ljava/lang/String;>;TT;>;Z)V;", "CONSTRUCTOR": "(Ljava/util/List<+Ljava/lang/String;>;[[I)V;", "FIELD": "()Lshop/Box$Lid<**>;", "ENUM_CONSTANT": "(J-D)V"}
+    encoded = F.lit("()V")
+    for k, v in kinds.items():
+        encoded = F.when(F.col("kind") == k, v).otherwise(encoded)
+    return f.select("decl_pos", encoded.alias("encoded")).withColumn("decoded", signatures.parameters("encoded"))
+
+
+def q27_icons(spark, sf):
+    return corpus.features(spark, sf).select("decl_pos", text.icon(F.col("kind"), F.col("modifiers")).alias("icon"))
+
+
+def q28_category_labels(spark, sf):
+    p = corpus.table(spark, sf, "part")
+    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("text/x-java:"), "p_name", F.lit(" == "), "p_brand")).otherwise(F.concat("p_name", F.lit(" != "), "p_brand", F.lit("!!")))
+    return p.select("p_partkey", text.category_label(raw).alias("label"))
+
+
+def q29_escaping(spark, sf):
+    p = corpus.table(spark, sf, "part")
+    key = F.concat(F.replace("p_name", F.lit(" "), F.lit("__")), F.when(F.col("p_partkey") % 2 == 0, "$").otherwise("_"), "p_type")
+    e = text.escape_key(key)
+    return p.select("p_partkey", e.alias("escaped"), text.unescape_key(e).alias("unescaped"), text.escape_html(F.concat(F.lit('<a href="'), "p_name", F.lit('">&\n'))).alias("html"))
+
+
+def q30_use_types(spark, sf):
+    u = corpus.usages(spark, sf).withColumn("use", F.element_at(F.array(F.lit("READ"), F.lit("WRITE"), F.lit("EXECUTE")), (F.col("line") % 3 + 1).cast("int")))
+    by = u.groupBy("decl_pos").agg(F.array_join(F.sort_array(F.collect_set("use")), "|").alias("uses"), F.count("*").alias("n_uses"))
+    f = corpus.features(spark, sf).select("decl_pos", F.array_contains("modifiers", "PRIVATE").alias("private"))
+    return f.join(by, "decl_pos", "left").select("decl_pos", F.coalesce("uses", F.lit("")).alias("uses"), F.coalesce("n_uses", F.lit(0)).alias("n_uses"), (F.col("private") & ~F.coalesce(F.col("uses").contains("READ"), F.lit(False))).alias("unused"))
+
+
+def q31_offsets(spark, sf):
+    spans = corpus.usages(spark, sf).filter("file % 20 = 0").select("file", "decl_pos", "line", (F.col("decl_pos") % 17 + 1).alias("span"))
+    return report.run_lengths(spans, "file", ["line", "decl_pos"], "span")
+
+
+def q32_narrowest(spark, sf):
+    lines = duplicates.lines(corpus.table(spark, sf, "documents"), "doc_id", "text")
+    halves = lines.withColumn("mid", F.expr("start_off + (end_off - start_off) div 2"))
+    intervals = halves.select("path", F.explode(F.array(F.struct("start_off", "end_off"), F.struct("start_off", F.col("mid").alias("end_off")))).alias("i")).select("path", "i.*")
+    points = corpus.table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.explode(F.array(F.expr("n_chars div 3"), F.expr("n_chars div 2 + 1"))).alias("point"))
+    return lookup.narrowest(points.distinct(), intervals, "path", "point").select("path", "point", "start_off", "end_off")
+
+
+def _diagnosed(spark, sf):
+    lines = duplicates.lines(corpus.table(spark, sf, "documents"), "doc_id", "text")
+    labels = corpus.table(spark, sf, "labels").filter("doc_id is not null").select(F.col("doc_id").alias("l_doc"), "quality", "toxic")
+    return report.diagnostics(lines.join(labels, F.col("path") == F.col("l_doc")), "the ", F.when(F.col("quality") == 0, "error").when(F.col("toxic") == 1, "warning").otherwise("note"), "Usage of the")
+
+
+def q33_diagnostics(spark, sf):
+    return _diagnosed(spark, sf).select("path", "line", "column", "severity", "message")
+
+
+def q34_status(spark, sf):
+    d = corpus.table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.col("source").alias("group"))
+    labels = corpus.table(spark, sf, "labels").select(F.col("doc_id").alias("path"), "quality")
+    return report.status(d.join(labels, "path", "left").select("group", F.when(F.col("quality").isNull(), "NOTHING_TO_DO").when(F.col("quality") == 0, "FAILURE").when(F.col("path") % 2 == 0, "SUCCESS").otherwise("NO_HINTS_FOUND").alias("status")))
+
+
+def q35_access_counts(spark, sf):
+    return counters.counts(corpus.access_log(spark, sf))
+
+
+def q36_hourly_counts(spark, sf):
+    return counters.windowed(corpus.access_log(spark, sf))
+
+
+def q37_streamed_counts(spark, sf):
+    import uuid
+
+    log = corpus.table(spark, sf, "events")
+    rounds.checkpointed(spark.range(1))  # sees to it that the session has a shared folder
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    files = spark.readStream.schema(log.schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf)
+    keys = files.select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("key"))
+    return counters.run_to_end(counters.counts(keys), f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}")
+
+
+def _changes(spark, sf):
+    o = corpus.table(spark, sf, "orders")
+    op = F.when(F.col("o_orderstatus") == "F", "delete").otherwise("put")
+    return o.select((F.col("o_orderkey") % 3000).alias("p_partkey"), F.col("o_orderkey").alias("seq"), op.alias("op"), F.lit("changed").alias("p_name"), F.col("o_totalprice").alias("p_retailprice"))
+
+
+def q38_upsert(spark, sf):
+    old = corpus.table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice")
+    return maintenance.upsert(old, _changes(spark, sf), "p_partkey", "seq", "op")
+
+
+def q39_snapshot_difference(spark, sf):
+    old = corpus.table(spark, sf, "part").select(F.col("p_partkey").alias("path"), F.col("p_retailprice").alias("stamp"))
+    new = q38_upsert(spark, sf).select(F.col("p_partkey").alias("path"), F.col("p_retailprice").alias("stamp"))
+    return maintenance.difference(old, new, "path", "stamp")
+
+
+def q40_closure(spark, sf):
+    return lookup.closure(corpus.edges(spark, sf)).groupBy("ancestor", "depth").agg(F.count("*").alias("n"))
+
+
+def q41_snippets(spark, sf):
+    return report.snippets(duplicates.lines(corpus.table(spark, sf, "documents"), "doc_id", "text"), "text", r"(?i)\bcopyright\b|licen[sc]e", 2)
+
+
+def q42_common_prefix(spark, sf):
+    s = corpus.sources(spark, sf)
+    by = s.groupBy("segment").agg(F.min("relative_path").alias("a"), F.max("relative_path").alias("b"))
+    return by.select("segment", text.common_prefix(F.col("a"), F.col("b")).alias("common"))
+
+
+def q43_span_codec(spark, sf):
+    spans = corpus.usages(spark, sf).filter("file % 10 = 0").groupBy("file").agg(F.sort_array(F.collect_set(F.struct(F.col("decl_pos").alias("start"), (F.col("decl_pos") + F.col("line")).alias("end")))).alias("found"))
+    packed = text.pack_spans(F.col("found"))
+    return spans.select("file", packed.alias("spans"), text.pack_positions(F.col("found")).alias("positions"), text.pack_spans(text.unpack_spans(packed)).alias("again"))
+
+
+def q44_use_patterns(spark, sf):
+    return corpus.features(spark, sf).select("decl_pos", report.use_pattern(F.col("kind"), F.col("modifiers"), F.col("class_fqn"), F.col("simple_name")).alias("rule"))
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for k, v in globals().items() if k[0] == "q" and k[1:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
