@@ -9,6 +9,7 @@ from tesserae.functions import signatures, text
 from tesserae.operators import duplicates, lookup, maintenance, names, patterns, report, rounds, statistics
 from tesserae.plans.oracles import ORACLES
 from tesserae.sources import corpus
+from tesserae.sources.shipping import ship
 from tesserae.streaming import counters
 
 
@@ -187,6 +188,7 @@ def q25_random_files(spark, sf):
 
 
 def q26_decoded_signatures(spark, sf):
+    ship(spark)
     f = corpus.features(spark, sf)
     kinds = {"METHOD": "<T:Ljava/lang/String;>(Ljava/util/Map<Ljava/util/List<Ljava/lang/String;>;TT;>;Z)V;", "CONSTRUCTOR": "(Ljava/util/List<+Ljava/lang/String;>;[[I)V;", "FIELD": "()Lshop/Box$Lid<**>;", "ENUM_CONSTANT": "(J-D)V"}
     encoded = F.lit("()V")
