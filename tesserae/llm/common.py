@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.sources.shipping import ship
+
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -71,6 +73,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow, with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def drop(df: DataFrame) -> None:
     """Remove what :func:`materialize` wrote, once nothing reads it any more."""
     remove(df.sparkSession, df._tesserae_path)
@@ -97,5 +105,10 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once. Inside a lambda an outer expression is worked out for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def conf_int(spark: SparkSession, key: str, default: int) -> int:
     return int(spark.conf.get(key, str(default)))

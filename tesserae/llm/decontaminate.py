@@ -72,8 +72,9 @@ def _windows(words: Column, make) -> Column:
     return F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), make))
 
 
-def _hash(words: Column, i: Column) -> Column:
-    return F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])
+def _hashes(words: Column) -> Column:
+    """Hashes of all windows of an array of words."""
+    return common.let(words, lambda w: _windows(w, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -83,10 +84,9 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _positions(rows: DataFrame, *keys: str) -> DataFrame:
     """keys, position, outline of the window (a string) and its filled words. For few texts."""
-    one = rows.select(*keys, filled(F.col("text")).alias("words"))
-    two = one.withColumn("outline", _outline(F.col("words")))
-    at = F.posexplode(_windows(F.col("words"), lambda i: F.struct(F.array_join(F.slice("outline", i + 1, WINDOW), " ").alias("window"), F.slice("words", i + 1, WINDOW).alias("values"))))
-    return two.select(*keys, at.alias("pos", "w")).select(*keys, "pos", "w.window", "w.values")
+    each = lambda w, o: _windows(w, lambda i: F.struct(F.array_join(F.slice(o, i + 1, WINDOW), " ").alias("window"), F.slice(w, i + 1, WINDOW).alias("values")))
+    at = F.posexplode(common.let(filled(F.col("text")), lambda w: common.let(_outline(w), lambda o: each(w, o))))
+    return rows.select(*keys, at.alias("pos", "w")).select(*keys, "pos", "w.window", "w.values")
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, broadca
     hint = F.broadcast if small else (lambda df: df)
     texts = _texts(docs)
     words = texts.select("tid", template(F.col("text")).alias("words"))
-    wide = words.select("tid", F.explode(_windows(F.col("words"), lambda i: _hash(F.col("words"), i))).alias("d_hash"))
+    wide = words.select("tid", F.explode(_hashes(F.col("words"))).alias("d_hash"))
     looked = items.select("item_id", "hash", "n_windows").distinct()
     hits = wide.join(hint(looked), wide["d_hash"] == looked["hash"]).select("tid", "item_id", "hash", "n_windows")
     found = common.materialize(_met(hits, share).select("tid", "item_id"), "candidates")

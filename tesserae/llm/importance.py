@@ -93,7 +93,7 @@ def trusted_ids(labels: DataFrame, max_labels: int) -> tuple[np.ndarray, np.ndar
 def fit(docs: DataFrame, target: np.ndarray, order: int = 1, size: int = BUCKETS) -> Model:
     """Count both models over all documents."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    counted = rows.mapInArrow(_count(target, order, size), "bucket long, raw long, trusted long")
+    counted = common.map_arrow(rows, _count(target, order, size), "bucket long, raw long, trusted long")
     # one row for each bucket at most
     got = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toArrow()
     raw, trusted = np.zeros(size), np.zeros(size)
@@ -125,7 +125,7 @@ def _noise(docs: DataFrame, seed: int):
 def scored(docs: DataFrame, model, seed: int) -> DataFrame:
     """doc_id, log_weight and sample_key of every row; model is a broadcast Model of fixed size."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _noise(docs, seed).alias("noise"))
-    return rows.mapInArrow(_score(model), "doc_id long, log_weight double, sample_key double")
+    return common.map_arrow(rows, _score(model), "doc_id long, log_weight double, sample_key double")
 
 
 def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 4096, exact: int = 20_000) -> float:
@@ -172,7 +172,7 @@ def threshold(docs: DataFrame, labels: DataFrame, miss: float, max_labels: int,
     return model, rows, kth_largest(real, "sample_key", k)
 
 
-def classify(docs: DataFrame, labels: DataFrame, miss: float = 0.005, max_labels: int = 100_000, seed: int = 11, order: int = 1) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, miss: float = 0.015, max_labels: int = 100_000, seed: int = 11, order: int = 1) -> DataFrame:
     """doc_id, log_weight, sample_key and kept of every row."""
     _, rows, least = threshold(docs, labels, miss, max_labels, seed, order)
     kept = F.col("sample_key") >= F.lit(least) if least is not None else F.lit(False)
@@ -191,7 +191,7 @@ def _keep(model, least: float, text: int, columns: int):
     return run
 
 
-def keep(docs: DataFrame, labels: DataFrame, miss: float = 0.005, max_labels: int = 100_000, seed: int = 11, order: int = 1) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, miss: float = 0.015, max_labels: int = 100_000, seed: int = 11, order: int = 1) -> DataFrame:
     """The rows of docs that are sampled, with all their columns; no text is shuffled."""
     model, rows, least = threshold(docs, labels, miss, max_labels, seed, order)
     common.drop(rows)
@@ -199,4 +199,4 @@ def keep(docs: DataFrame, labels: DataFrame, miss: float = 0.005, max_labels: in
     if least is None:
         return docs.limit(0)
     run = _keep(model, least, docs.columns.index("text"), len(docs.columns))
-    return docs.withColumn(noise, _noise(docs, seed)).mapInArrow(run, docs.schema)
+    return common.map_arrow(docs.withColumn(noise, _noise(docs, seed)), run, docs.schema)

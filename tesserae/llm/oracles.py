@@ -1 +1,10 @@
-ORACLES: dict[str, str] = {}
+"""What the queries of this subpackage compute, where SQL can express it.
+
+The others rest on hashes, regular expressions or searches that the SQL engine does
+not have; tests hold them against brute force.
+"""
+
+ORACLES: dict[str, str] = {
+    "op10_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), f AS (SELECT html, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY html)
+ SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, sha256(p.html) AS payload_digest, CASE WHEN first IS NOT NULL AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f ON p.html = f.html""",
+}

@@ -138,7 +138,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id and the secret spans of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(docs).cast("binary").alias("text")).mapInArrow(_scan, SCHEMA)
+    return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(docs).cast("binary").alias("text")), _scan, SCHEMA)
 
 
 def digest(found: DataFrame) -> DataFrame:

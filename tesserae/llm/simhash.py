@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, *more: Colum
     """doc_id, the columns asked for, and the fingerprint of every row as a signed long."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, common.text_of(docs).cast("binary").alias("text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1]) + ", fp long"
-    return rows.mapInArrow(_fingerprints(shingle, seed), schema)
+    return common.map_arrow(rows, _fingerprints(shingle, seed), schema)
 
 
 def offsets(radius: int) -> list[list[int]]:
@@ -197,7 +197,7 @@ def links(fps: DataFrame, radius: int = 3, tile: int = 4096) -> DataFrame:
     key = (F.col("cell").cast("long") * F.lit(1 << 32) + F.col("tile")).alias("key")
     n = max(common.conf_int(spark, "spark.sql.shuffle.partitions", 200), 4 * spark.sparkContext.defaultParallelism)
     dealt = home.unionByName(guests).select(key, "guest", "fp").repartition(n, "key").sortWithinPartitions("key", "guest")
-    return dealt.mapInArrow(_links(radius), "u long, v long")
+    return common.map_arrow(dealt, _links(radius), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -411,12 +411,13 @@ def repeated(docs: DataFrame, total_bytes: int | None = None) -> DataFrame:
     if total_bytes is None:
         total_bytes = docs.agg(F.sum(F.octet_length(common.text_of(docs)))).first()[0] or 0
     parts = max(common.conf_int(spark, "spark.sql.shuffle.partitions", 200), -(-total_bytes // PART_BYTES))
-    offers = _texts(docs).filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).select("tid", "text").mapInArrow(_offer(parts), "part int, texts binary, owner binary, low binary")
-    answers = offers.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_answer, "tid binary, low binary")
+    offers = _texts(docs).filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).select("tid", "text")
+    offers = common.map_arrow(offers, _offer(parts), "part int, texts binary, owner binary, low binary")
+    answers = common.map_arrow(offers.repartition(parts, "part").sortWithinPartitions("part"), _answer, "tid binary, low binary")
     lows = common.materialize(answers.filter("length(low) > 0"), "shared-minimizers").groupBy("tid").agg(F.collect_list("low").alias("low"))
     first = _first_texts(docs).join(lows, "tid").select("tid", "first", "text", "low")
-    sent = first.mapInArrow(_send(parts), "part int, texts binary, firsts binary, owner binary, start binary, hash binary, which binary, sizes binary, bytes binary")
-    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_find, "tid binary, spans binary")
+    sent = common.map_arrow(first, _send(parts), "part int, texts binary, firsts binary, owner binary, start binary, hash binary, which binary, sizes binary, bytes binary")
+    return common.map_arrow(sent.repartition(parts, "part").sortWithinPartitions("part"), _find, "tid binary, spans binary")
 
 
 def _with_spans(docs: DataFrame, total_bytes: int | None = None) -> DataFrame:
@@ -427,7 +428,7 @@ def _with_spans(docs: DataFrame, total_bytes: int | None = None) -> DataFrame:
 
 def cut(docs: DataFrame) -> DataFrame:
     """tid (MD5 of the text), spans removed, bytes removed and what is kept, for each distinct text that loses bytes in the document with its smallest doc_id."""
-    return _with_spans(docs).mapInArrow(_cut, _CUT)
+    return common.map_arrow(_with_spans(docs), _cut, _CUT)
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -435,7 +436,7 @@ def measure(docs: DataFrame) -> DataFrame:
     rows = _texts(docs).select("doc_id", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     rows = common.materialize(rows, "dedup-rows")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    lost = _with_spans(docs, total).mapInArrow(_digest, "tid binary, n_spans long, n_removed long, kept_sha256 string")
+    lost = common.map_arrow(_with_spans(docs, total), _digest, "tid binary, n_spans long, n_removed long, kept_sha256 string")
     first = rows.groupBy("tid").agg(F.min("doc_id").alias("first"))
     known = common.materialize(first.join(lost, "tid", "left"), "dedup-texts")
     all_ = rows.join(known, "tid")
