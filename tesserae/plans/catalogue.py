@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import signatures, text
-from tesserae.operators import duplicates, lookup, maintenance, names, patterns, report, rounds, statistics
+from tesserae.operators import duplicates, java, lookup, maintenance, names, patterns, report, rounds, rules, statistics
 from tesserae.plans.oracles import ORACLES
 from tesserae.sources import corpus
 from tesserae.sources.shipping import ship
@@ -310,6 +310,22 @@ def q44_use_patterns(spark, sf):
     return corpus.features(spark, sf).select("decl_pos", report.use_pattern(F.col("kind"), F.col("modifiers"), F.col("class_fqn"), F.col("simple_name")).alias("rule"))
 
 
+def q45_java_declarations(spark, sf):
+    return java.extract(corpus.java_files(spark, sf)).select(F.col("path").cast("long").alias("path"), "kind", "simple_name", "descriptor", "element")
+
+
+RULES = rules.parse("'Usage of isEmpty': $var.isEmpty() => $var.size() == 0;; 'typed': $1.isEmpty() :: $1 instanceof java.util.List && $1 instanceof Other => $1.none();;")
+
+
+def q46_rule_occurrences(spark, sf):
+    found = rules.occurrences(corpus.java_files(spark, sf), RULES[:1])
+    return found.select(F.col("path").cast("long").alias("path"), "label", "start_off", "end_off", "line", "column")
+
+
+def q47_rule_rewrites(spark, sf):
+    return rules.applied(corpus.java_files(spark, sf), RULES[:1]).select(F.col("path").cast("long").alias("path"), "content", F.regexp_count("diff", F.lit("(?m)^[-+] ")).cast("long").alias("n_changed_lines"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "q" and k[1:3].isdigit()}
 

@@ -33,6 +33,8 @@ def _freq(*words: str) -> str:
     return f"(length(tokens) - length(replace(tokens, {p}, ''))) // length({p})"
 
 
+_JAVA = f"""{_FEATURES}, java AS (SELECT decl_pos AS path, split_part(class_fqn, '.', 3) AS owner, class_fqn, simple_name, 'package ' || split_part(class_fqn, '.', 1) || '.' || split_part(class_fqn, '.', 2) || ';' || chr(10) || 'class ' || split_part(class_fqn, '.', 3) || ' {{' || chr(10) || ' ' || CASE WHEN is_static THEN 'static ' ELSE '' END || 'void ' || simple_name || '(int[] a, String b) {{' || chr(10) || '  c' || decl_pos || '.isEmpty();' || chr(10) || ' }}' || chr(10) || '}}' || chr(10) AS content FROM features)"""
+
 _OF_THE, _DE_LA = _phrase("of", "the"), _phrase("de", "la")
 
 _CHANGES = "changes AS (SELECT o_orderkey % 3000 AS p_partkey, o_orderkey AS seq, CASE WHEN o_orderstatus = 'F' THEN 'delete' ELSE 'put' END AS op, o_totalprice AS p_retailprice FROM orders), last AS (SELECT p_partkey, arg_max(op, seq) AS op, arg_max(p_retailprice, seq) AS p_retailprice FROM changes GROUP BY p_partkey), upserted AS (SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM last) UNION ALL SELECT p_partkey, 'changed', p_retailprice FROM last WHERE op <> 'delete')"
@@ -98,4 +100,7 @@ ORACLES: dict[str, str] = {
     "q42_common_prefix": f"WITH {_SOURCES}, b AS (SELECT segment, min(relative_path) AS a, max(relative_path) AS b FROM sources GROUP BY 1) SELECT segment, substr(a, 1, list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda i: substr(a, 1, i) = substr(b, 1, i)))) AS common FROM b",
     "q43_span_codec": "WITH s AS (SELECT DISTINCT l_orderkey AS file, l_partkey AS a, l_partkey + l_linenumber AS b FROM lineitem WHERE l_orderkey % 10 = 0), p AS (SELECT file, string_agg(a || ':' || b, ':' ORDER BY a, b) AS spans, string_agg(a || ':' || (b - a), ';' ORDER BY a, b) AS positions FROM s GROUP BY file) SELECT file, spans, positions, spans AS again FROM p",
     "q44_use_patterns": f"""WITH {_FEATURES} SELECT decl_pos, CASE WHEN kind IN ('CLASS', 'INTERFACE') THEN class_fqn || ';;' WHEN kind = 'CONSTRUCTOR' THEN 'new ' || class_fqn || '();;' WHEN is_static THEN class_fqn || '.' || simple_name || CASE WHEN kind = 'METHOD' THEN '()' ELSE '' END || ';;' ELSE '$this.' || simple_name || CASE WHEN kind = 'METHOD' THEN '()' ELSE '' END || ' :: $this instanceof ' || class_fqn || ';;' END AS rule FROM features""",
+    "q45_java_declarations": f"""WITH {_JAVA} SELECT path, 'CLASS' AS kind, owner AS simple_name, '' AS descriptor, 'CLASS:' || class_fqn AS element FROM java UNION ALL SELECT path, 'METHOD', simple_name, '([ILjava/lang/String;)V', 'METHOD:' || class_fqn || ':' || simple_name || ':([ILjava/lang/String;)V' FROM java""",
+    "q46_rule_occurrences": f"""WITH {_JAVA} SELECT path, 'Usage of isEmpty' AS label, strpos(content, 'c' || path || '.isEmpty') - 1 AS start_off, strpos(content, '.isEmpty') + length('.isEmpty()') - 1 AS end_off, 4 AS line, 3 AS "column" FROM java""",
+    "q47_rule_rewrites": f"""WITH {_JAVA} SELECT path, replace(content, '.isEmpty()', '.size() == 0') AS content, 2 AS n_changed_lines FROM java""",
 }

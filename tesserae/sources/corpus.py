@@ -80,3 +80,13 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("child"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("parent"))
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("child"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("parent"))
     return c.unionByName(n)
+
+
+def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path and content of a small Java source for each declaration."""
+    f = features(spark, sf_dir)
+    package, owner = F.substring_index("class_fqn", ".", 2), F.substring_index("class_fqn", ".", -1)
+    static = F.when(F.array_contains("modifiers", "STATIC"), "static ").otherwise("")
+    key = F.col("decl_pos").cast("string")
+    code = F.concat(F.lit("package "), package, F.lit(";\nclass "), owner, F.lit(" {\n "), static, F.lit("void "), F.col("simple_name"), F.lit("(int[] a, String b) {\n  c"), key, F.lit(".isEmpty();\n }\n}\n"))
+    return f.select(key.alias("path"), code.alias("content"))
