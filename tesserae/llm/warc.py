@@ -9,7 +9,7 @@ Reading: the driver lists files and packs them into partitions by size. Each
 task walks its files record by record: the header is parsed first, pushed-down
 predicates on the record type and the other header columns are checked on it, and
 the block is skipped by its length unless the record passes and the schema asks
-for the payload.
+for the payload. Plain and gzipped files are read.
 
 Defined results: a null html is an empty payload; a page whose page_id is null,
 or equal to the smallest one of its payload, is a response; a null url gives a
@@ -18,6 +18,7 @@ record without a target.
 
 from __future__ import annotations
 
+import gzip
 import io
 from collections.abc import Iterator
 
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
+from tesserae.sources.shipping import ship
+
 from . import common
 
 CRLF = "\r\n"
@@ -85,8 +88,8 @@ def records(pages: DataFrame, shared_bytes: int = SHARED_BYTES, date: str = "197
 
 
 def write(pages: DataFrame, path: str, **options) -> None:
-    """Write pages as WARC files into a folder."""
-    records(pages, **options).write.option("lineSep", CRLF * 2).text(path)
+    """Write pages as gzipped WARC files into a folder."""
+    records(pages, **options).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
 class _Files(InputPartition):
@@ -135,7 +138,8 @@ class WarcReader(DataSourceReader):
         rows, held = [], 0
         for path, _size in partition.files:
             with store.open_input_file(path) as raw:
-                for row, size in self.walk(io.BufferedReader(_Raw(raw), 1 << 20)):
+                plain = io.BufferedReader(_Raw(raw), 1 << 20)
+                for row, size in self.walk(gzip.GzipFile(fileobj=plain) if path.endswith(".gz") else plain):
                     rows.append(row)
                     held += size + 200
                     if held > 8 << 20:
@@ -219,6 +223,7 @@ class WarcDataSource(DataSource):
 def read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """The records of a folder of WARC files."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    ship(spark)
     spark.dataSource.register(WarcDataSource)
     reader = spark.read.format("warc")
     return (reader.schema(schema) if schema else reader).load(path)
