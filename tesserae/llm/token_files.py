@@ -4,12 +4,13 @@ Ids are dictionary-encoded 32-bit integers in row groups and pages of controlled
 size with column and offset indexes, beside metadata columns, so ids and metadata
 can be read selectively. Rows lie in ascending order of doc_id across files; each
 row has the number of the file it is in and the ids before it there, and a small
-table of sums over files turns that into its place in the whole.
+table of sums over files, read from the metadata columns alone, turns that into
+its place in the whole.
 
 Encoding goes by pieces: a text is cut where a space is followed by something
-else than white space, which is a boundary of the byte-level pre-tokenizer
-however the text goes on, and each distinct piece is encoded by the tokenizers
-library once for each worker while the piece table has room.
+else than white space, and around single commas, full stops and line feeds, which are
+boundaries of the byte-level pre-tokenizer however the text goes on, and each distinct piece is encoded by the tokenizers
+library once for each worker while the tables of pieces and words have room.
 
 Defined results: a null text is an empty one, of which only the end id is
 written; null doc_ids come first; rows that tie are in the order of their texts.
@@ -17,12 +18,14 @@ written; null doc_ids come first; rows that tie are in the order of their texts.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,56 +33,127 @@ from pyspark.sql.window import Window
 from . import common
 
 END = 2
-SCHEMA = "doc_id long, file int, before long, ids array<int>"
+SCHEMA = "doc_id long, file int, before long, n_ids int, ids array<int>"
 #: Parquet settings: row groups that a task can hold, pages small enough to be read alone.
 LAYOUT = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(2 << 20), "compression": "zstd"}
-#: Pieces kept in a worker.
-ROOM = 400_000
+#: Pieces kept in a worker; beyond it, the half met last goes, which holds the rarer ones.
+ROOM = 700_000
 _ODD = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
-_loaded: dict[str, tuple] = {}
+#: Marks a piece that no space begins.
+_BARE = "\x01"
+#: Where a comma, full stop or line feed may not stand alone between words.
+_MESSY = re.compile(r"[^\w\s][^\w\s]|\s[^\w\s]|\s\s|[_\x01]")
+#: The byte-level pre-tokenizer's pattern (fixed value).
+_PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Classes of UTF-8 bytes: letters and digits, marks, white space, and what the expression above must decide.
+_CLASS = bytes.maketrans(bytes(range(256)), bytes(ord("a" if chr(b).isalnum() and b < 128 or b == 0xC3 or 0x80 <= b < 0xC0 and b not in (0x97, 0xB7) else "?" if b >= 0x80 or b in (0x01, 0x5F) or 0x1C <= b < 0x20 else "s" if chr(b).isspace() else "p") for b in range(256)))
+_loaded: dict[str, Encoder] = {}
+
+
+def messy(text: str) -> bool:
+    """Whether commas, full stops and line feeds may stand otherwise than alone between words."""
+    seen = text.encode("utf-8", "surrogatepass").translate(_CLASS)
+    if b"pp" in seen or b"sp" in seen or b"ss" in seen:
+        return True
+    return b"?" in seen and _MESSY.search(text) is not None
+
+
+def cut(text: str) -> list[str]:
+    """The pieces of a text: without the space that they begin with, or marked if none does.
+
+    Where single commas, full stops and line feeds stand between words these are pieces of their own.
+    """
+    if not messy(text):
+        parts = text.replace(",", " \x01,").replace(".", " \x01.").replace("\n", " \x01\n \x01").split(" ")
+    else:
+        parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+    if parts[0]:
+        parts[0] = _BARE + parts[0]
+        return parts
+    return parts[1:]
 
 
 class Encoder:
-    """A tokenizer with a table of the pieces it has met."""
+    """A tokenizer with a table of the pieces it has met.
+
+    New pieces are split by the pre-tokenizer's pattern, and their words are encoded
+    many at a time, as one text, of which the library says which word each id belongs to.
+    """
 
     def __init__(self, path: str, room: int = ROOM):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.room, self.table = Tokenizer.from_file(path), room, {}
+        self.tokenizer, self.room = Tokenizer.from_file(path), room
+        self.pieces, self.words = {_BARE: b""}, {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _joined(self, words: list[str], by: str) -> dict[str, bytes]:
+        """Encode words as one text; joined by a line feed, every other word that the library sees is one."""
+        every, out = 1 + len(by), {}
+        for i in range(0, len(words), 4000):
+            some = words[i : i + 4000]
+            got = self.tokenizer.encode(by.join(some), add_special_tokens=False)
+            of, ids = np.array(got.word_ids), np.array(got.ids, "<u4")
+            if of[-1] != every * (len(some) - 1):  # one of them was not one word after all
+                out.update((w, self._plain(w)) for w in some)
+                continue
+            edge = (np.searchsorted(of, np.arange(every * len(some) + 1)) * 4).tolist()
+            raw = ids.tobytes()
+            out.update((w, raw[edge[every * k] : edge[every * k + 1]]) for k, w in enumerate(some))
+        return out
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.table) + len(pieces) > self.room:
-            self.table.clear()
-        for piece, got in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            self.table[piece] = np.array(got.ids, "<u4").tobytes()
+    def _learn(self, new: set[str]) -> None:
+        """Put pieces into their table: words with a space before them at once, others by their parts."""
+        whole, spaced, other = {}, set(), set()
+        for key in new:
+            if key.isalpha():
+                spaced.add(" " + key)
+                continue
+            text = key[1:] if key[:1] == _BARE else " " + key
+            if any(x in text for x in self.special):
+                self.pieces[key] = self._plain(text)
+                continue
+            whole[key] = parts = _PRE.findall(text)
+            for w in parts:
+                if w[0] == " " and w[1:].isalpha():
+                    if w[1:] not in self.pieces:
+                        spaced.add(w)
+                elif w not in self.words:
+                    if w.isspace():
+                        self.words[w] = self._plain(w)
+                    else:
+                        other.add(w)
+        self.pieces.update((w[1:], x) for w, x in self._joined(list(spaced), "").items())
+        self.words.update(self._joined(list(other), "\n"))
+        for key, parts in whole.items():
+            self.pieces[key] = b"".join([self.pieces[w[1:]] if w[0] == " " and w[1:].isalpha() else self.words[w] for w in parts])
+
+    def _trim(self) -> None:
+        if len(self.pieces) > self.room:
+            self.pieces = dict(itertools.islice(self.pieces.items(), self.room // 2))
+        if len(self.words) > self.room:
+            self.words = dict(itertools.islice(self.words.items(), self.room // 2))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        cut = []
-        for t in texts:
-            parts = _CUT.split(t) if _ODD.search(t) else t.split(" ")
-            cut.append([parts[0], *[" " + p for p in parts[1:]]] if parts[0] else [" " + p for p in parts[1:]])
         out = []
-        for i in range(0, len(cut), 64):
-            some = cut[i : i + 64]
-            new = set().union(*some).difference(self.table)
-            if new:
-                self._learn(list(new))
-                if len(self.table) < len(new):
-                    raise RuntimeError("the piece table lost pieces")
-                missing = set().union(*some).difference(self.table)
-                if missing:  # the table was emptied for the new ones
-                    self._learn_more(missing)
-            get = self.table.__getitem__
-            out += [b"".join(map(get, pieces)) for pieces in some]
+        for i in range(0, len(texts), 64):
+            some = texts[i : i + 64]
+            pieces = [cut(t) if _BARE not in t else [] for t in some]
+            self._trim()
+            self._learn(set().union(*pieces).difference(self.pieces))
+            get = self.pieces.__getitem__
+            done = [b"".join(map(get, c)) for c in pieces]
+            for k, t in enumerate(some):
+                if _BARE in t:
+                    done[k] = self._plain(t)
+            out += done
         return out
 
-    def _learn_more(self, pieces: set[str]) -> None:
-        room, self.room = self.room, len(self.table) + len(pieces)
-        self._learn(list(pieces))
-        self.room = room
-
 
 def encoder(path: str) -> Encoder:
     if path not in _loaded:
@@ -102,7 +176,7 @@ def _encode(path: str, end: int):
                 ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
                 flat = np.frombuffer(b"".join(ids), "<i4")
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(before + ends[:-1], pa.int64()), lists], ["doc_id", "file", "before", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(before + ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int32()), lists], ["doc_id", "file", "before", "n_ids", "ids"])
                 before += int(ends[-1])
 
     return run
@@ -115,7 +189,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, partitions
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of(docs).alias("text"))
     dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     marked = dealt.select("doc_id", F.spark_partition_id().alias("file"), "text")
-    marked.mapInArrow(_encode(tokenizer, end), SCHEMA).write.options(**LAYOUT).parquet(path)
+    common.map_arrow(marked, _encode(tokenizer, end), SCHEMA).write.options(**LAYOUT).parquet(path)
 
 
 def read(spark: SparkSession, path: str, columns: str = SCHEMA) -> DataFrame:
@@ -125,7 +199,7 @@ def read(spark: SparkSession, path: str, columns: str = SCHEMA) -> DataFrame:
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = batch.column(3)
+        lists = batch.column(batch.num_columns - 1)
         flat, ends = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), lists.offsets.to_numpy()
         crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "file", "before", "n_tokens", "ids_crc32"])
@@ -133,8 +207,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every row of the files, from what they hold."""
-    rows = read(spark, path).mapInArrow(_digest, "doc_id long, file int, before long, n_tokens long, ids_crc32 long")
-    sums = read(spark, path, "file int, ids array<int>").groupBy("file").agg(F.sum(F.size("ids").cast("long")).alias("n"))
+    rows = common.map_arrow(read(spark, path), _digest, "doc_id long, file int, before long, n_tokens long, ids_crc32 long")
+    sums = read(spark, path, "file int, n_ids int").groupBy("file").agg(F.sum("n_ids").alias("n"))
     # one row for each file
     base = sums.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     return rows.join(F.broadcast(base), "file").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -17,7 +17,10 @@ def path():
 def odd_texts():
     r = random.Random(5)
     bits = [" ", "  ", "\n", " \n", "\t", "\xa0", "\x1c", "\x85", " ", "it's", "don't 've", "été", "日本語", "\U0001f600", "12345", "a", "word", "<|endoftext|>", "...", " ,", "\r\n", "　", "'s"]
-    return ["".join(r.choice(bits) for _ in range(r.randrange(0, 30))) for _ in range(4000)] + ["", " ", "   ", " a", "a ", "a  b", "\n a"]
+    plain = ["word", "Été", "x1", "12", ", ", ". ", ".\n", "\n", " ", "it's", ",", ".", "no_w", "日本", "e\u0301", "\x01"]
+    some = ["".join(r.choice(bits) for _ in range(r.randrange(0, 30))) for _ in range(4000)]
+    some += ["".join(r.choice(plain) for _ in range(r.randrange(0, 12))) for _ in range(6000)]
+    return some + ["", " ", "   ", " a", "a ", "a  b", "\n a", "\n", ",", "a\n", "\na", "a.b,c\nd", "3.14, 15.", "<|endoftext|>, a", "a. <|endoftext|>"]
 
 
 def test_pieces_equal_whole_texts(path):
