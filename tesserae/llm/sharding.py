@@ -139,13 +139,16 @@ def find_cuts(groups: DataFrame, shards: int, resolution: int = 1 << 14, exact:
         starts, split = cut(shards, size, whole, largest)
         if not split.any():
             return [parts[s][0] if s < len(parts) else "g" for s in starts]  # "g" is above every hex key
-        ranges = []
-        for i in np.flatnonzero(split):
+        # one range for each stretch of segments to split; single groups in between are fetched again
+        fixed = np.cumsum(~whole & ~split)
+        ranges, last = [], None
+        for i in np.flatnonzero(split).tolist():
             lo, hi = parts[i][1], parts[i][2]
-            if ranges and ranges[-1][1] == lo:
+            if last is not None and fixed[last] == fixed[i]:
                 ranges[-1] = (ranges[-1][0], hi)
             else:
                 ranges.append((lo, hi))
+            last = i
 
 
 def measured(docs: DataFrame) -> DataFrame:

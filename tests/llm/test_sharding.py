@@ -63,3 +63,17 @@ def test_even_without_hot_groups(spark):
 
 def test_empty(no_docs):
     assert sharding.assign(no_docs).count() == 0
+
+
+def test_many_ranges_of_one_group(spark):
+    """About as many groups as ranges: most ranges hold one or two, and those to split do not lie side by side."""
+    df = spark.range(12_000).selectExpr("id as doc_id", "repeat(md5(cast(id as string)), 1 + cast(id % 9 as int)) as text")
+    rows = sharding.measured(df)
+    groups = rows.groupBy("key").agg({"size": "sum"}).withColumnRenamed("sum(size)", "size").selectExpr("key", "size", "cast(conv(substring(key, 1, 15), 16, 10) as long) as prefix")
+    got = sharding.find_cuts(groups, 24)
+    known = sorted((r.key, r["size"]) for r in groups.collect())
+    size = np.array([s for _, s in known])
+    ends = np.concatenate([[0], np.cumsum(size)])
+    starts = [next((i for i, (k, _) in enumerate(known) if k >= c), len(known)) for c in got]
+    best = sharding.smallest_capacity(24, ends, np.ones(len(size), bool), False)
+    assert int(np.diff(np.concatenate([[0], ends[starts], [ends[-1]]])).max()) == best
