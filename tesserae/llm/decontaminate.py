@@ -14,6 +14,10 @@ item is looked for by its windows of five template words:
 So a copy is caught, and a copy with other numbers, units and names as well, but
 not a text that only has the same outline.
 
+With ``any_case`` (op5 and the pipeline) both steps are also taken over case-folded
+words, where names stay words, and the larger share counts: a copy in capitals is
+one run of names to the templates.
+
 The items' windows are broadcast up to a checked number of rows, and shuffled
 beyond it. A window of fewer than two plain words says little and is not used;
 items of fewer than five words, or without a window left, are not looked for.
@@ -34,32 +38,40 @@ SHARE = 0.8
 BROADCAST_ROWS = 500_000  #: windows of items, at some 40 bytes each
 
 NUM, NAME, UNIT = "\x01", "\x02", "\x03"
+#: with names as placeholders, or as case-folded words
+VIEWS = (0, 1)
+FOLDED = 1
 _NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
 #: fixed values
 UNITS = ("%", "kg", "g", "mg", "lb", "lbs", "oz", "km", "m", "cm", "mm", "mi", "ft", "in", "l", "ml", "s", "ms", "min", "h", "hour", "hours", "minute", "minutes", "second", "seconds", "day", "days", "week", "weeks", "month", "months", "year", "years", "mph", "kmh", "dollars", "cents", "euros", "USD", "EUR", "GB", "MB", "KB", "Hz", "kHz", "MHz", "GHz", "W", "kW", "V", "A", "J", "N", "Pa")
 _LETTER = r"\p{L}\p{M}"
 
 
-def marked(text: Column, keep: bool) -> Column:
-    """The text with placeholders, each followed by what it stands for if keep."""
-    unit = "|".join(UNITS)
+def marked(text: Column, keep: bool, folded: bool = False) -> Column:
+    """The text with placeholders, each followed by what it stands for if keep. If folded, case is folded first and names stay words."""
+    unit = "|".join(dict.fromkeys(u.lower() for u in UNITS) if folded else UNITS)
     one, two = ("$1", "$2") if keep else ("", "")
-    t = F.regexp_replace(text, f"[{NUM}{NAME}{UNIT}]", " ")
+    t = F.regexp_replace(F.upper(text) if folded else text, f"[{NUM}{NAME}{UNIT}]", " ")
+    if folded:  # by way of capitals, as ß and SS; Spark would leave out upper() right inside lower()
+        t = F.lower(t)
+    # lookaheads stand first: a lookbehind at every place of the text is what takes time
     t = F.regexp_replace(t, rf"([$€£¥])\s?({_NUMBER})", f" {UNIT}{one} {NUM}{two} ")
-    t = F.regexp_replace(t, rf"(?<!{NUM})({_NUMBER})\s?({unit})(?![{_LETTER}])", f" {NUM}{one} {UNIT}{two} ")
-    t = F.regexp_replace(t, rf"(?<![{NUM}0-9.,])({_NUMBER})", f" {NUM}{one} ")
-    t = F.regexp_replace(t, rf"(?<![{_LETTER}{UNIT}])(\p{{Lu}}[{_LETTER}]*)", f" {NAME}{one} ")
+    t = F.regexp_replace(t, rf"(?=[0-9])(?<!{NUM})({_NUMBER})\s?({unit})(?![{_LETTER}])", f" {NUM}{one} {UNIT}{two} ")
+    t = F.regexp_replace(t, rf"(?=[0-9])(?<![{NUM}0-9.,])({_NUMBER})", f" {NUM}{one} ")
+    if folded:
+        return t
+    t = F.regexp_replace(t, rf"(?=\p{{Lu}})(?<![{_LETTER}{UNIT}])(\p{{Lu}}[{_LETTER}]*)", f" {NAME}{one} ")
     return F.lower(t)
 
 
-def template(text: Column) -> Column:
+def template(text: Column, folded: bool = False) -> Column:
     """The template words of a text."""
-    return F.filter(F.split(marked(text, False), f"[^{_LETTER}{NUM}{NAME}{UNIT}]+"), lambda w: w != "")
+    return F.filter(F.split(marked(text, False, folded), f"[^{_LETTER}{NUM}{NAME}{UNIT}]+"), lambda w: w != "")
 
 
-def filled(text: Column) -> Column:
+def filled(text: Column, folded: bool = False) -> Column:
     """The template words in the same order, placeholders with their values."""
-    return F.regexp_extract_all(marked(text, True), F.lit(f"{NUM}[0-9.,]+|{UNIT}[^ ]+|{NAME}[{_LETTER}]+|[{_LETTER}]+"), F.lit(0))
+    return F.regexp_extract_all(marked(text, True, folded), F.lit(f"{NUM}[0-9.,]+|{UNIT}[^ ]+|{NAME}[{_LETTER}]+|[{_LETTER}]+"), F.lit(0))
 
 
 def _outline(words: Column) -> Column:
@@ -82,68 +94,76 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.unhex(F.md5(text.cast("binary"))).alias("tid"), text.alias("text"))
 
 
-def _positions(rows: DataFrame, *keys: str) -> DataFrame:
-    """keys, position, outline of the window (a string) and its filled words. For few texts."""
+def _positions(rows: DataFrame, *keys: str, views: tuple = VIEWS[:1]) -> DataFrame:
+    """keys, view, position, outline of the window (a string) and its filled words. For few texts."""
     each = lambda w, o: _windows(w, lambda i: F.struct(F.array_join(F.slice(o, i + 1, WINDOW), " ").alias("window"), F.slice(w, i + 1, WINDOW).alias("values")))
-    at = F.posexplode(common.let(filled(F.col("text")), lambda w: common.let(_outline(w), lambda o: each(w, o))))
-    return rows.select(*keys, at.alias("pos", "w")).select(*keys, "pos", "w.window", "w.values")
+    both = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(v).alias("view"), filled(F.col("text"), v == FOLDED).alias("words")) for v in views])).alias("v")).select(*keys, "v.view", "v.words")
+    at = F.posexplode(common.let(F.col("words"), lambda w: common.let(_outline(w), lambda o: each(w, o))))
+    return both.select(*keys, "view", at.alias("pos", "w")).select(*keys, "view", "pos", "w.window", "w.values")
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, pos, window, values, hash and n_windows of the windows that are looked for."""
+def item_windows(benchmark: DataFrame, views: tuple = VIEWS[:1]) -> DataFrame:
+    """item_id, view, pos, window, values, hash and n_windows of the windows that are looked for."""
     text = benchmark.select(F.col("item_id").cast("long").alias("item_id"), common.text_of(benchmark).alias("text")).filter("item_id is not null")
-    at = _positions(text, "item_id")
+    at = _positions(text, "item_id", views=views)
     plain = F.size(F.filter("values", lambda w: ~F.substring(w, 1, 1).isin(NUM, NAME, UNIT)))
     words = F.split("window", " ")
     used = at.filter(plain >= 2).withColumn("hash", F.xxhash64(*[F.get(words, k) for k in range(WINDOW)]))
-    sizes = used.groupBy("item_id").agg(F.countDistinct("window").cast("long").alias("n_windows")).withColumnRenamed("item_id", "s_item")
-    return used.join(sizes, F.col("item_id") == F.col("s_item")).drop("s_item")
+    sizes = used.groupBy(F.col("item_id").alias("s_item"), F.col("view").alias("s_view")).agg(F.countDistinct("window").cast("long").alias("n_windows"))
+    return used.join(sizes, (F.col("item_id") == F.col("s_item")) & (F.col("view") == F.col("s_view"))).drop("s_item", "s_view")
 
 
 def _met(hits: DataFrame, share: float) -> DataFrame:
-    """tid, item_id and share of windows met, where that is enough. hits: tid, item_id, window or hash, n_windows."""
-    each = hits.distinct().groupBy("tid", "item_id").agg(F.count("*").alias("met"), F.first("n_windows").alias("n_windows"))
-    return each.withColumn("share", F.col("met") / F.col("n_windows")).filter(F.col("share") >= F.lit(share)).select("tid", "item_id", "share")
+    """tid, item_id, view and share of windows met, where that is enough. hits: tid, item_id, view, window or hash, n_windows."""
+    each = hits.distinct().groupBy("tid", "item_id", "view").agg(F.count("*").alias("met"), F.first("n_windows").alias("n_windows"))
+    return each.withColumn("share", F.col("met") / F.col("n_windows")).filter(F.col("share") >= F.lit(share)).select("tid", "item_id", "view", "share")
+
 
+def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, broadcast_rows: int = BROADCAST_ROWS, any_case: bool = False) -> DataFrame:
+    """tid (MD5 of a text), item_id, share and n_other (values that differ from the item's) of contaminated texts.
 
-def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """tid (MD5 of a text), item_id, share and n_other (values that differ from the item's) of contaminated texts."""
-    items = common.materialize(item_windows(benchmark), "item-windows")
-    small = items.count() <= broadcast_rows
-    hint = F.broadcast if small else (lambda df: df)
+    If any_case, windows of case-folded words are looked for too, and the larger share counts.
+    """
+    views = VIEWS if any_case else VIEWS[:1]
+    items = common.materialize(item_windows(benchmark, views), "item-windows")
+    hint = lambda df, rows: F.broadcast(df) if rows <= broadcast_rows else df
+    n_windows = items.count()
     texts = _texts(docs)
-    words = texts.select("tid", template(F.col("text")).alias("words"))
-    wide = words.select("tid", F.explode(_hashes(F.col("words"))).alias("d_hash"))
-    looked = items.select("item_id", "hash", "n_windows").distinct()
-    hits = wide.join(hint(looked), wide["d_hash"] == looked["hash"]).select("tid", "item_id", "hash", "n_windows")
-    found = common.materialize(_met(hits, share).select("tid", "item_id"), "candidates")
+    # a window without a name hashes alike in both views: hits may only be too many here, the words decide
+    hashes = F.array_distinct(F.concat(*[F.coalesce(_hashes(F.col(f"words{v}")), F.array().cast("array<bigint>")) for v in views]))
+    wide = texts.select("tid", *[template(F.col("text"), v == FOLDED).alias(f"words{v}") for v in views]).select("tid", F.explode(hashes).alias("d_hash"))
+    looked = items.select("item_id", "view", "hash", "n_windows").distinct()
+    hits = wide.join(hint(looked, n_windows), wide["d_hash"] == looked["hash"]).select("tid", "item_id", "view", "hash", "n_windows")
+    found = common.materialize(_met(hits, share).select("tid", "item_id", "view"), "candidates")
     # the words of candidates, in full
-    of = found.select(F.col("tid").alias("c_tid"), F.col("item_id").alias("c_item"))
-    few = texts.join(of.select("c_tid").distinct(), F.col("tid") == F.col("c_tid"), "left_semi").dropDuplicates(["tid"])
-    at = _positions(few, "tid").select("tid", F.col("pos").alias("d_pos"), F.col("window").alias("d_window"), F.col("values").alias("d_values"))
-    pairs = at.join(hint(items), F.col("d_window") == F.col("window")).join(of, (F.col("tid") == F.col("c_tid")) & (F.col("item_id") == F.col("c_item")), "left_semi")
-    lined = common.materialize(pairs.select("tid", "item_id", "n_windows", "window", (F.col("d_pos") - F.col("pos")).alias("line"), F.arrays_zip(F.col("values").alias("i"), F.col("d_values").alias("d")).alias("slots")), "alignments")
-    slots = lined.select("tid", "item_id", "line", F.explode("slots").alias("s")).select("tid", "item_id", "line", "s.i", "s.d").filter(F.substring("i", 1, 1).isin(NUM, NAME, UNIT)).distinct()
-    kept = slots.groupBy("tid", "item_id", "line", "i").agg(F.count("*").alias("n"), F.max((F.col("i") != F.col("d")).cast("long")).alias("other")).groupBy("tid", "item_id", "line").agg(F.max("n").alias("most"), F.sum("other").alias("other"))
-    broken = kept.filter("most > 1").select("tid", "item_id", "line")
-    sound = lined.join(broken, ["tid", "item_id", "line"], "left_anti")
-    whole = _met(sound.select("tid", "item_id", "window", "n_windows"), share)
-    other = kept.filter("most = 1").groupBy("tid", "item_id").agg(F.min("other").alias("n_other"))
-    return whole.join(other, ["tid", "item_id"], "left").select("tid", "item_id", "share", F.coalesce("n_other", F.lit(0)).cast("long").alias("n_other"))
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    of = found.select(F.col("tid").alias("c_tid"), F.col("item_id").alias("c_item"), F.col("view").alias("c_view"))
+    few = texts.join(hint(of.select("c_tid").distinct(), found.count()), F.col("tid") == F.col("c_tid"), "left_semi").dropDuplicates(["tid"])
+    at = _positions(few, "tid", views=views).select("tid", F.col("view").alias("d_view"), F.col("pos").alias("d_pos"), F.col("window").alias("d_window"), F.col("values").alias("d_values"))
+    pairs = at.join(hint(items, n_windows), (F.col("d_window") == F.col("window")) & (F.col("d_view") == F.col("view"))).join(of, (F.col("tid") == F.col("c_tid")) & (F.col("item_id") == F.col("c_item")) & (F.col("view") == F.col("c_view")), "left_semi")
+    lined = common.materialize(pairs.select("tid", "item_id", "view", "n_windows", "window", (F.col("d_pos") - F.col("pos")).alias("line"), F.arrays_zip(F.col("values").alias("i"), F.col("d_values").alias("d")).alias("slots")), "alignments")
+    line = ["tid", "item_id", "view", "line"]
+    slots = lined.select(*line, F.explode("slots").alias("s")).select(*line, "s.i", "s.d").filter(F.substring("i", 1, 1).isin(NUM, NAME, UNIT)).distinct()
+    kept = slots.groupBy(*line, "i").agg(F.count("*").alias("n"), F.max((F.col("i") != F.col("d")).cast("long")).alias("other")).groupBy(*line).agg(F.max("n").alias("most"), F.sum("other").alias("other"))
+    broken = kept.filter("most > 1").select(*line)
+    sound = lined.join(broken, line, "left_anti")
+    whole = _met(sound.select("tid", "item_id", "view", "window", "n_windows"), share)
+    other = kept.filter("most = 1").groupBy("tid", "item_id", "view").agg(F.min("other").alias("n_other"))
+    each = whole.join(other, ["tid", "item_id", "view"], "left").select("tid", "item_id", "share", F.coalesce("n_other", F.lit(0)).cast("long").alias("n_other"))
+    return each.groupBy("tid", "item_id").agg(F.max("share").alias("share"), F.min("n_other").alias("n_other"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, any_case: bool = False) -> DataFrame:
     """A row for each document that holds benchmark items: doc_id, n_items, item_ids, share of the fullest, n_other of the closest."""
-    got = matches(docs, benchmark, share).groupBy("tid").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("share").alias("share"), F.min("n_other").alias("n_other"))
+    got = matches(docs, benchmark, share, any_case=any_case).groupBy("tid").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("share").alias("share"), F.min("n_other").alias("n_other"))
     got = common.materialize(got.withColumnRenamed("tid", "m_tid"), "contaminated")
     text = common.text_of(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("tid"))
     return rows.join(got, F.col("tid") == F.col("m_tid")).select("doc_id", "n_items", "item_ids", "share", "n_other")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, any_case: bool = False) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns."""
     (tid,) = common.unused(docs, "tid")
-    got = common.materialize(matches(docs, benchmark, share).select(F.col("tid").alias("m_" + tid)).distinct(), "contaminated")
+    got = common.materialize(matches(docs, benchmark, share, any_case=any_case).select(F.col("tid").alias("m_" + tid)).distinct(), "contaminated")
     keyed = docs.withColumn(tid, F.unhex(F.md5(common.text_of(docs).cast("binary"))))
     return keyed.join(got, keyed[tid] == got["m_" + tid], "left_anti").drop(tid)

@@ -36,7 +36,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
-    return decontaminate.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), any_case=True)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
