@@ -8,8 +8,9 @@ item is looked for by its windows of five template words:
    a candidate for an item if it has at least ``share`` of the item's windows.
 2. For candidates only, the words behind the placeholders are compared along each
    alignment of document and item (difference of their positions): every value of
-   the item must stand for one value of the document throughout. Alignments that
-   break this are left out, and the share is taken again.
+   the item must stand for one value of the document, the commonest (of equals the
+   value itself). Windows with another value are left out unless they equal the
+   item's word for word, and the share is taken again.
 
 So a copy is caught, and a copy with other numbers, units and names as well, but
 not a text that only has the same outline.
@@ -140,16 +141,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, broadca
     few = texts.join(hint(of.select("c_tid").distinct(), found.count()), F.col("tid") == F.col("c_tid"), "left_semi").dropDuplicates(["tid"])
     at = _positions(few, "tid", views=views).select("tid", F.col("view").alias("d_view"), F.col("pos").alias("d_pos"), F.col("window").alias("d_window"), F.col("values").alias("d_values"))
     pairs = at.join(hint(items, n_windows), (F.col("d_window") == F.col("window")) & (F.col("d_view") == F.col("view"))).join(of, (F.col("tid") == F.col("c_tid")) & (F.col("item_id") == F.col("c_item")) & (F.col("view") == F.col("c_view")), "left_semi")
-    lined = common.materialize(pairs.select("tid", "item_id", "view", "n_windows", "window", (F.col("d_pos") - F.col("pos")).alias("line"), F.arrays_zip(F.col("values").alias("i"), F.col("d_values").alias("d")).alias("slots")), "alignments")
+    lined = common.materialize(pairs.select("tid", "item_id", "view", "n_windows", "window", "pos", (F.col("d_pos") - F.col("pos")).alias("line"), F.arrays_zip(F.col("values").alias("i"), F.col("d_values").alias("d")).alias("slots")), "alignments")
     line = ["tid", "item_id", "view", "line"]
-    slots = lined.select(*line, F.explode("slots").alias("s")).select(*line, "s.i", "s.d").filter(F.substring("i", 1, 1).isin(NUM, NAME, UNIT)).distinct()
-    kept = slots.groupBy(*line, "i").agg(F.count("*").alias("n"), F.max((F.col("i") != F.col("d")).cast("long")).alias("other")).groupBy(*line).agg(F.max("n").alias("most"), F.sum("other").alias("other"))
-    broken = kept.filter("most > 1").select(*line)
-    sound = lined.join(broken, line, "left_anti")
+    slots = lined.select(*line, "pos", F.posexplode("slots").alias("k", "s")).select(*line, (F.col("pos") + F.col("k")).alias("at"), "s.i", "s.d").filter(F.substring("i", 1, 1).isin(NUM, NAME, UNIT)).distinct()
+    # each value's partner: the commonest, of equals the value itself
+    partner = F.max(F.struct("n", (F.col("i") == F.col("d")).alias("same"), "d"))["d"]
+    kept = slots.groupBy(*line, "i", "d").agg(F.count("*").alias("n")).groupBy(*line, "i").agg(partner.alias("d"), F.count("*").alias("n"), F.max((F.col("i") != F.col("d")).cast("long")).alias("other"))
+    kept = common.materialize(kept.groupBy(*line).agg(F.max("n").alias("most"), F.sum("other").alias("other"), F.map_from_entries(F.collect_list(F.struct("i", "d"))).alias("partners")), "partners")
+    broken = kept.filter("most > 1").select(*[F.col(c).alias("b_" + c) for c in line], "partners")
+    verbatim = F.forall("slots", lambda s: s["i"] == s["d"])
+    regular = F.forall("slots", lambda s: ~F.substring(s["i"], 1, 1).isin(NUM, NAME, UNIT) | (F.col("partners")[s["i"]] == s["d"]))
+    lines = [F.col(c) == F.col("b_" + c) for c in line]
+    sound = common.materialize(lined.join(broken, lines, "left").filter(F.col("partners").isNull() | verbatim | regular).select(*line, "window", "n_windows"), "sound")
     whole = _met(sound.select("tid", "item_id", "view", "window", "n_windows"), share)
-    other = kept.filter("most = 1").groupBy("tid", "item_id", "view").agg(F.min("other").alias("n_other"))
-    each = whole.join(other, ["tid", "item_id", "view"], "left").select("tid", "item_id", "share", F.coalesce("n_other", F.lit(0)).cast("long").alias("n_other"))
-    return each.groupBy("tid", "item_id").agg(F.max("share").alias("share"), F.min("n_other").alias("n_other"))
+    other = kept.join(sound.select(*line).distinct(), line, "left_semi").groupBy("tid", "item_id", "view").agg(F.min("other").alias("n_other"))
+    each = whole.join(other, ["tid", "item_id", "view"], "left").select("tid", "item_id", "view", "share", F.coalesce("n_other", F.lit(0)).cast("long").alias("n_other"))
+    return each.groupBy("tid", "item_id").agg(F.max("share").alias("share"), F.min_by("n_other", "view").alias("n_other"))  # names count if both views match
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, any_case: bool = False) -> DataFrame:

@@ -44,3 +44,25 @@ def test_any_case_shuffled_gives_the_same(spark):
     docs, bench = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(BENCH, "item_id long, text string, window string")
     a, b = (sorted(map(str, D.matches(docs, bench, broadcast_rows=n, any_case=True).collect())) for n in (0, 1000))
     assert a == b and a
+
+
+def long_item():
+    """Sixty words with the name The, Ann and the number 5 many times."""
+    return " ".join(f"The {w}ling went by {w}ward with 5 {w}let and Ann {w}some" for w in ("bram", "cors", "dwel", "frim", "glon", "hask"))
+
+
+@pytest.mark.parametrize("any_case", [False, True])
+def test_one_deviating_value_costs_its_windows_only(spark, any_case):
+    item = long_item()
+    renamed = item.replace("Ann", "Eve").replace("5", "8")
+    docs = [
+        (1, FILL + item.replace("The dwelling", "This dwelling")),
+        (2, FILL + item.replace("5 dwellet", "6 dwellet")),
+        (3, FILL + renamed),
+        (4, FILL + renamed.replace("8 dwellet", "9 dwellet")),  # other values, one of them not throughout
+        (5, FILL + "".join(p if i % 2 else p.replace("5", str(20 + i)).replace("Ann", "Mr%s" % "abcdef"[i]) for i, p in enumerate(item.replace("some ", "some |").split("|")))),  # every other line has values of its own
+    ]
+    got = {r.doc_id: r for r in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"), any_case=any_case).collect()}
+    assert sorted(got) == [1, 2, 3, 4]
+    assert got[1].n_other == got[2].n_other == 1 and got[3].share == 1.0
+    assert all(0.8 <= got[d].share < 1 for d in (1, 2, 4))
