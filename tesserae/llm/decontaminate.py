@@ -20,8 +20,10 @@ words, where names stay words, and the larger share counts: a copy in capitals i
 one run of names to the templates.
 
 The items' windows are broadcast up to a checked number of rows, and shuffled
-beyond it. A window of fewer than two plain words says little and is not used;
-items of fewer than five words, or without a window left, are not looked for.
+beyond it. A window of fewer than two plain words says little and is not used. Items of
+fewer than five words, or without a window left, have no share: with ``any_case``
+they are looked for as one sequence of case-folded words, numbers and units, so
+that exact copies are caught; an item without any word or number is not looked for.
 
 Defined results: null texts hold nothing; each row of a contaminated text is
 reported; null item ids are left out; empty tables give an empty result.
@@ -123,7 +125,7 @@ def _met(hits: DataFrame, share: float) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, broadcast_rows: int = BROADCAST_ROWS, any_case: bool = False) -> DataFrame:
     """tid (MD5 of a text), item_id, share and n_other (values that differ from the item's) of contaminated texts.
 
-    If any_case, windows of case-folded words are looked for too, and the larger share counts.
+    If any_case, windows of case-folded words are looked for too, and the larger share counts; items without a window are looked for in full.
     """
     views = VIEWS if any_case else VIEWS[:1]
     items = common.materialize(item_windows(benchmark, views), "item-windows")
@@ -156,7 +158,35 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, broadca
     whole = _met(sound.select("tid", "item_id", "view", "window", "n_windows"), share)
     other = kept.join(sound.select(*line).distinct(), line, "left_semi").groupBy("tid", "item_id", "view").agg(F.min("other").alias("n_other"))
     each = whole.join(other, ["tid", "item_id", "view"], "left").select("tid", "item_id", "view", "share", F.coalesce("n_other", F.lit(0)).cast("long").alias("n_other"))
-    return each.groupBy("tid", "item_id").agg(F.max("share").alias("share"), F.min_by("n_other", "view").alias("n_other"))  # names count if both views match
+    found = each.groupBy("tid", "item_id").agg(F.max("share").alias("share"), F.min_by("n_other", "view").alias("n_other"))  # names count if both views match
+    return found.unionByName(whole_copies(docs, benchmark, items, broadcast_rows)) if any_case else found
+
+
+def whole_copies(docs: DataFrame, benchmark: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """tid, item_id, share (1) and n_other (0) of texts that hold an item without a window in full, values included, in any case.
+
+    items: what item_windows() gave in all views. A hash join on the first words of an item names candidates.
+    """
+    text = benchmark.select(F.col("item_id").cast("long").alias("item_id"), filled(common.text_of(benchmark), True).alias("words")).filter(F.col("item_id").isNotNull() & (F.size("words") > 0))
+    head = text.join(items.select("item_id").distinct(), "item_id", "left_anti").withColumn("n", F.least(F.size("words"), F.lit(WINDOW)))
+    head = common.materialize(head.select("item_id", "n", F.xxhash64(F.slice("words", F.lit(1), F.col("n"))).alias("hash"), _sequence("words").alias("sequence")).distinct(), "whole-items")
+    lengths = sorted(r.n for r in head.select("n").distinct().collect())  # at most five
+    hint = (lambda df, rows: F.broadcast(df) if rows <= broadcast_rows else df)
+    texts = _texts(docs)
+    if not lengths:
+        return texts.limit(0).select("tid", F.lit(0).cast("long").alias("item_id"), F.lit(1.0).alias("share"), F.lit(0).cast("long").alias("n_other"))
+    starts = lambda w, k: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, k))))
+    hashes = common.let(filled(F.col("text"), True), lambda w: F.array_distinct(F.concat(*[F.coalesce(starts(w, k), F.array().cast("array<bigint>")) for k in lengths])))
+    n_heads = head.count()
+    hits = texts.select("tid", F.explode(hashes).alias("d_hash")).join(hint(head.select("item_id", "hash"), n_heads), F.col("d_hash") == F.col("hash"))
+    of = common.materialize(hits.select(F.col("tid").alias("c_tid"), F.col("item_id").alias("c_item")).distinct(), "whole-candidates")
+    few = texts.join(hint(of.select("c_tid").distinct(), of.count()), F.col("tid") == F.col("c_tid"), "left_semi").dropDuplicates(["tid"]).select("tid", _sequence(filled(F.col("text"), True)).alias("d_sequence"))
+    pairs = few.join(of, F.col("tid") == F.col("c_tid")).join(hint(head.select("item_id", "sequence"), n_heads), F.col("c_item") == F.col("item_id"))
+    return pairs.filter(F.contains("d_sequence", "sequence")).select("tid", "item_id", F.lit(1.0).alias("share"), F.lit(0).cast("long").alias("n_other")).distinct()
+
+
+def _sequence(words) -> Column:
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, any_case: bool = False) -> DataFrame:

@@ -66,3 +66,30 @@ def test_one_deviating_value_costs_its_windows_only(spark, any_case):
     assert sorted(got) == [1, 2, 3, 4]
     assert got[1].n_other == got[2].n_other == 1 and got[3].share == 1.0
     assert all(0.8 <= got[d].share < 1 for d in (1, 2, 4))
+
+
+def test_items_without_a_window_are_found_in_full(spark, write):
+    bench = [(1, "What is 12 + 7?"), (2, "1 2 3 4 5 6 7 8 9 10"), (3, "too short"), (4, "?!"), (5, None), (6, "Ann Bob"), (7, "What is 12 + 7?")]
+    docs = [
+        (1, FILL + "What is 12 + 7? " + FILL),
+        (2, FILL + "WHAT IS 12 + 7"),
+        (3, FILL + "What is 12 + 8? " + FILL),  # other values
+        (4, "0 1 2 3 4 5 6 7 8 9 10 11"),
+        (5, "1 2 3 4 5 6 7 8 9 11 10"),
+        (6, "much too short, really"),
+        (7, "too, very short"),
+        (8, "Ann met Bob. Ann, Bob"),
+        (9, "Joann Bob Ann Bobby"),
+        (10, None),
+        (11, "what is 112 + 7 and what is 12 + 71"),
+        (12, "What is 12 + 7? too short"),
+    ]
+    got = caught(spark, write(docs, bench))
+    assert {d: r.item_ids for d, r in got.items()} == {1: [1, 7], 2: [1, 7], 4: [2], 6: [3], 8: [6], 12: [1, 3, 7]}
+    assert all(r.share == 1.0 and r.n_other == 0 for r in got.values())
+
+
+def test_items_in_full_shuffled_give_the_same(spark):
+    docs, bench = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(BENCH[2:4], "item_id long, text string, window string")
+    a, b = (sorted(map(str, D.matches(docs, bench, broadcast_rows=n, any_case=True).collect())) for n in (0, 1000))
+    assert a == b and len(a) == 1
