@@ -18,6 +18,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 _serial = itertools.count()
 _kept: dict[str, SparkSession] = {}
+_tables: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is the session's ``spark.checkpoint.dir``. Where that is unset (tests, a
-    single machine) a temporary folder is made once and set for the session.
+    It is the session's ``spark.checkpoint.dir``, or else the context's checkpoint
+    folder. Where neither is set and all runs in one process (tests) a temporary
+    folder is made once and set for the session; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext.getCheckpointDir():
+        return spark.sparkContext.getCheckpointDir().rstrip("/")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tesserae-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -48,7 +54,9 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Drop a table written by :func:`materialize`."""
+    """Drop a table written by :func:`materialize` or :func:`bucketed`."""
+    if path in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -73,6 +81,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Write a table to the shared folder in buckets of a column, as many as shuffles have partitions, and read it back.
+
+    Joins on the column read the buckets in place of a shuffle.
+    """
+    spark, table = df.sparkSession, f"tesserae_{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
+    n = conf_int(spark, "spark.sql.shuffle.partitions", 200)
+    df.write.bucketBy(n, column).option("path", path).saveAsTable(table)
+    _tables[path] = table
+    back = spark.table(table)
+    back._tesserae_path = path
+    return back
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow, with this package at hand in the workers."""
     ship(df.sparkSession)

@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from tesserae.llm import suffix_dedup as S
 
@@ -29,9 +31,9 @@ def slow(rows):
     return sorted(out)
 
 
-def fast(spark, rows):
+def fast(spark, rows, hot=S.HOT):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    return sorted((str(o.doc_id), o.n_bytes, o.n_removed, o.n_spans, o.kept_sha256) for o in S.measure(df).collect())
+    return sorted((str(o.doc_id), o.n_bytes, o.n_removed, o.n_spans, o.kept_sha256) for o in S.measure(df, hot).collect())
 
 
 def corpus(seed):
@@ -58,6 +60,57 @@ def test_equals_brute_force(spark):
         assert fast(spark, rows) == slow(rows)
 
 
+@pytest.mark.parametrize("hot", [2, 4, 12])
+def test_hot_minimizers_taken_apart(spark, hot):
+    rows = corpus(5)
+    assert fast(spark, rows, hot) == slow(rows)
+
+
+def test_small_batches_and_parts(spark, monkeypatch):
+    """Batches of a text or two, as on many executors; the packing itself is called here, not in the workers."""
+    rows = [(d, hashlib.md5(t.encode()).digest(), t.encode()) for d, t in corpus(7) if d is not None and t and len(t.encode()) >= 50]
+    first = {}
+    for d, tid, text in sorted(rows):
+        first.setdefault(tid, (d, text))
+    parts, texts = 3, [(tid, d, text) for tid, (d, text) in sorted(first.items())]
+    monkeypatch.setattr(S, "BATCH_BYTES", 300)
+    batch = lambda rows, cols: [pa.RecordBatch.from_pydict({c: [r[i] for r in rows] for i, c in enumerate(cols)})]
+    table = lambda bs: [r for b in bs for r in b.to_pylist()]
+    for hot in (3, 1 << 14):
+        offers = table(S._offer(parts)(iter(batch([(t, x) for t, _, x in texts], ["tid", "text"]))))
+        answers = table(S._answer(2, hot)(iter(batch(sorted((o["part"], o["texts"], o["counts"], o["low"]) for o in offers), "abcd"))))
+        keys = {r["tid"]: r["keys"] for r in table(S._gather(iter(batch(sorted((a["bucket"], a["texts"], a["counts"], a["keys"]) for a in answers), "abcd"))))}
+        sent = table(S._send(parts)(iter(batch([(t, d, x, keys[t]) for t, d, x in texts if t in keys], "abcd"))))
+        found = table(S._find(iter(batch(sorted((s["part"], *[s[f] for f in S._MESSAGE]) for s in sent if s["part"] >= 0), "abcdefg"))))
+        spans = {}
+        for b in {s["batch"] for s in sent}:
+            left = pa.Table.from_pylist([s for s in sent if s["batch"] == b], S._schema(S._SENT))
+            right = pa.Table.from_pylist([f for f in found if f["batch"] == b], S._schema(S._FOUND))
+            spans.update({r["tid"]: np.frombuffer(r["spans"], np.uint32).reshape(-1, 2).tolist() for r in S._place(left, right).to_pylist()})
+        assert len({s["batch"] for s in sent}) > 10
+        starts = {}
+        for _, d, x in texts:
+            for i in range(len(x) - 49):
+                starts[x[i : i + 50]] = min(d, starts.get(x[i : i + 50], d))
+        for tid, d, x in texts:
+            gone = np.zeros(len(x), bool)
+            for i in range(len(x) - 49):
+                if starts[x[i : i + 50]] < d:
+                    gone[i : i + 50] = True
+            mine = np.zeros(len(x), bool)
+            for a, b in spans.get(tid, []):
+                mine[a:b] = True
+            assert (mine == gone).all()
+
+
+def test_clashing_columns_and_long_text(spark):
+    long = " ".join(f"word{i % 977}x{i}" for i in range(60_000))
+    rows = [(2, long, "a", b"x", 1), (1, "lead " + long[300_000:300_400] + " tail", "b", None, 2), (1, "lead " + long[300_000:300_400] + " tail", "b", None, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tid string, spans binary, first int")
+    got = {o.doc_id: (o.n_removed, o.n_spans) for o in S.measure(df).collect()}
+    assert got == {1: (0, 0), 2: (400, 1)} and S.measure(df).count() == 3
+
+
 def test_messy(spark, rows):
     few = [(d, t) for d, t, *_ in rows]
     assert fast(spark, few) == slow(few)
@@ -76,11 +129,19 @@ def test_deep_shallow_order():
     data = ("".join(r.choice("ab") for _ in range(200)) * 4 + "q" * 50 + "a" * 130).encode()
     at = np.arange(len(data) - 49)
     group = np.array([r.randrange(2) for _ in at])
-    got = sorted(tuple(sorted(g.tolist())) for g in S.equal_suffixes(data, at, group))
-    by = {}
-    for i in at.tolist():
-        by.setdefault((group[i], data[i : i + 50]), []).append(i)
-    assert got == sorted(tuple(v) for v in by.values() if len(v) > 1)
+    order, number = S.deep_shallow(data, at, group)
+    key = [(group[i], data[i : i + 50]) for i in order.tolist()]
+    assert key == sorted(key) and sorted(order.tolist()) == at.tolist()
+    assert [n for n in np.diff(number)] == [int(x != y) for x, y in zip(key[:-1], key[1:])]
+
+
+def test_multikey_quicksort():
+    r = random.Random(4)
+    for n in (0, 1, 2, 700):
+        words = np.array([[r.randrange(4) for _ in range(n)] for _ in range(3)], np.uint64).reshape(3, n)
+        group = np.array([r.randrange(3) for _ in range(n)], np.int64)
+        got = [(group[i], *words[:, i]) for i in S.multikey_quicksort(words, group).tolist()]
+        assert got == sorted(got) and len(got) == n
 
 
 def test_blind_trie():
@@ -92,6 +153,7 @@ def test_blind_trie():
             t.add(s, i)
             want.setdefault(s, []).append(i)
         assert sorted(t.leaves) == sorted(want.items())
+        assert list(t.ordered()) == [want[s] for s in sorted(want)]
 
 
 def test_cut_keeps_the_rest(spark):
