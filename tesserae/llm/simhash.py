@@ -5,18 +5,21 @@ compared, by exclusive-or and bit counts in numpy, but only within tiles that ca
 hold a link: the 64 bits are cut into four words, and the four population counts
 of a fingerprint name its *cell*. Two fingerprints within the radius have cells
 whose counts differ by the radius in sum at most, so only such cells meet. A cell
-of more than ``tile`` fingerprints is cut into several home tiles. Each
-fingerprint is sent to its own tile and, as a visitor, to the tiles of the cells
-after its own that it may link to; visitors stream past the home tile, so a task
-holds one tile and one batch.
+of more than ``tile`` fingerprints is cut into several home tiles. Each tile's
+fingerprints travel as one block, to the tile itself and, as visitors, to the tiles of
+the cells after its own that they may link to; blocks stream past the home tile,
+so a task holds one tile and one batch of blocks.
 
 A tile reports links that span what it has found connected, not every pair.
 Groups are the connected components of those links, by alternating large-star
 and small-star steps, each written to the shared folder.
 
 Defined results: null and empty texts have fingerprint zero and are linked like
-any other; a null doc_id never names a group that has another; an empty table
-gives an empty result.
+any other; a null doc_id never names a group that has another; repeated rows have
+one fingerprint and each its row; a bit set in exactly half of the hashes is 0; a text
+of any length is hashed whole; columns other than doc_id and text are not looked at by
+:func:`near_groups` and kept as they are by :func:`one_of_each`; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -157,19 +160,19 @@ def _links(radius: int):
             return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["u", "v"])
 
         for batch in batches:
-            key = batch.column(0).to_numpy()
-            guest = batch.column(1).to_numpy(zero_copy_only=False)
-            fp = batch.column(2).to_numpy().view(np.uint64)
-            edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (guest[1:] != guest[:-1]), [True]]))
-            for a, b in zip(edges[:-1], edges[1:]):
-                if key[a] != now:
+            key, guest = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            blocks = batch.column(2)
+            fps, ends = blocks.values.to_numpy().view(np.uint64), blocks.offsets.to_numpy()
+            for i in range(batch.num_rows):
+                block = fps[ends[i] : ends[i + 1]]
+                if key[i] != now:
                     out.extend(tile.close())
-                    now, tile = key[a], Tile(radius)
-                if guest[a]:
+                    now, tile = key[i], Tile(radius)
+                if guest[i]:
                     out.extend(tile.close())
-                    out.extend(tile.meet(fp[a:b]))
+                    out.extend(tile.meet(block))
                 else:
-                    tile.add(fp[a:b])
+                    tile.add(block)
             if len(out) > 10_000:
                 yield flush()
         out.extend(tile.close())
@@ -187,16 +190,19 @@ def links(fps: DataFrame, radius: int = 3, tile: int = 4096) -> DataFrame:
     # at most 17 ** 4 cells, whatever the input
     cells = F.broadcast(rows.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles")))
     own = rows.join(cells, "cell").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    home = own.select("cell", "tile", F.lit(0).alias("guest"), "fp")
+    # a block is a tile's fingerprints, some ``tile`` at most; from here on blocks travel, a row for each pair of tiles that may hold links
+    blocks = own.groupBy("cell", "tile").agg(F.first("counts").alias("counts"), F.collect_list("fp").alias("block"))
+    blocks = common.materialize(blocks, "tiles")
+    home = blocks.select("cell", "tile", F.lit(0).alias("guest"), "block")
     steps = F.array(*[F.array(*map(F.lit, d)) for d in offsets(radius)])
     there = F.explode(F.filter(F.transform(steps, lambda d: F.transform(F.arrays_zip(F.col("counts").alias("c"), d.alias("d")), lambda z: z["c"] + z["d"])), lambda cs: F.forall(cs, lambda c: (c >= 0) & (c < SIDE))))
-    sent = own.select("fp", F.col("cell").alias("from"), F.col("tile").alias("from_tile"), there.alias("cs"))
-    sent = sent.select("fp", "from", "from_tile", cell_no([F.col("cs")[i] for i in range(WORDS)]).alias("cell")).join(cells, "cell")
-    sent = sent.select("fp", "cell", F.when(F.col("cell") == F.col("from"), F.col("from_tile")).otherwise(F.col("tiles")).alias("upto")).filter("upto > 0")
-    guests = sent.select("cell", F.explode(F.sequence(F.lit(0), F.col("upto") - 1)).alias("tile"), F.lit(1).alias("guest"), "fp")
+    sent = blocks.select("block", F.col("cell").alias("from"), F.col("tile").alias("from_tile"), there.alias("cs"))
+    sent = sent.select("block", "from", "from_tile", cell_no([F.col("cs")[i] for i in range(WORDS)]).alias("cell")).join(cells, "cell")
+    sent = sent.select("block", "cell", F.when(F.col("cell") == F.col("from"), F.col("from_tile")).otherwise(F.col("tiles")).alias("upto")).filter("upto > 0")
+    guests = sent.select("cell", F.explode(F.sequence(F.lit(0), F.col("upto") - 1)).alias("tile"), F.lit(1).alias("guest"), "block")
     key = (F.col("cell").cast("long") * F.lit(1 << 32) + F.col("tile")).alias("key")
     n = max(common.conf_int(spark, "spark.sql.shuffle.partitions", 200), 4 * spark.sparkContext.defaultParallelism)
-    dealt = home.unionByName(guests).select(key, "guest", "fp").repartition(n, "key").sortWithinPartitions("key", "guest")
+    dealt = home.unionByName(guests).select(key, "guest", "block").repartition(n, "key").sortWithinPartitions("key", "guest")
     return common.map_arrow(dealt, _links(radius), "u long, v long")
 
 
