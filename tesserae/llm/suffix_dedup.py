@@ -55,7 +55,7 @@ GRAM = 24  #: of the strings whose least hash is the minimizer
 SHALLOW = 16  #: bytes that the multikey quicksort goes down to
 PART_BYTES = 24 << 20  #: text for each part
 BATCH_BYTES = 8 << 20  #: text worked on before blobs are sent
-HOT = 1 << 14  #: texts from which a minimizer is taken apart
+HOT = 1 << 12  #: texts from which a minimizer is taken apart
 
 DIGEST = 16  #: bytes of what stands for a 50-byte string of a hot minimizer
 _HOT_BIT = np.uint64(1 << 63)
