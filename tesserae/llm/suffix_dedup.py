@@ -55,7 +55,7 @@ GRAM = 24  #: of the strings whose least hash is the minimizer
 SHALLOW = 16  #: bytes that the multikey quicksort goes down to
 PART_BYTES = 24 << 20  #: text for each part
 BATCH_BYTES = 8 << 20  #: text worked on before blobs are sent
-HOT = 1 << 12  #: texts from which a minimizer is taken apart
+HOT = 1 << 14  #: texts from which a minimizer is taken apart
 
 DIGEST = 16  #: bytes of what stands for a 50-byte string of a hot minimizer
 _HOT_BIT = np.uint64(1 << 63)
@@ -580,13 +580,13 @@ def repeated(texts: DataFrame, total_bytes: int, hot: int = HOT) -> DataFrame:
     n = common.conf_int(texts.sparkSession, "spark.sql.shuffle.partitions", 200)
     parts = max(n, -(-total_bytes // PART_BYTES))
     offers = common.map_arrow(texts.select("tid", "text"), _offer(parts), "part int, texts binary, counts binary, low binary")
-    answers = common.map_arrow(offers.repartition(parts, "part").sortWithinPartitions("part"), _answer(parts, hot), "bucket int, texts binary, counts binary, keys binary")
-    keys = common.map_arrow(answers.repartition(parts, "bucket").sortWithinPartitions("bucket"), _gather, "tid binary, keys binary")
+    answers = common.map_arrow(offers.repartitionById(parts, F.col("part")).sortWithinPartitions("part"), _answer(parts, hot), "bucket int, texts binary, counts binary, keys binary")
+    keys = common.map_arrow(answers.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket"), _gather, "tid binary, keys binary")
     keys = common.materialize(keys, "shared-minimizers")
     wanted = texts.join(keys, "tid").select("tid", "first", "text", "keys")
     sent = common.materialize(common.map_arrow(wanted, _send(parts), _ddl(_SENT)), "dedup-sent")
     common.drop(keys)
-    messages = sent.filter("part >= 0").select("part", *_MESSAGE).repartition(parts, "part").sortWithinPartitions("part")
+    messages = sent.filter("part >= 0").select("part", *_MESSAGE).repartitionById(parts, F.col("part")).sortWithinPartitions("part")
     found = common.map_arrow(messages, _find, _ddl(_FOUND))
     places = sent.select("batch", *_PLACES)
     out = places.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(_place, "tid binary, spans binary")
