@@ -2,22 +2,29 @@
 
 Two generative models over hashed n-grams are counted: one from documents that
 are labelled as trusted, one from all raw text. A document's log weight is the
-log ratio of their probabilities for its n-grams, for a document of a fixed
-length, so long documents are not favoured. Adding Gumbel noise to the log
-weights and keeping the k largest samples k documents without replacement in
-proportion to their weights.
+log ratio of their probabilities for ``LENGTH`` of its n-grams, so long documents are not
+favoured. Adding Gumbel noise to the log weights and keeping the k largest samples k
+documents without replacement in proportion to their weights.
 
-k is not guessed: a part of the trusted documents is held out of the target
-model, and k is the number of documents whose log weight is at least that of all
-but ``miss`` of the held-out ones.
+``LENGTH`` is the temperature: at 256 n-grams the noise, with a deviation of 1.28, is worth a
+hundredth or two of a mean log ratio, which is how far documents near the edge of the trusted ones
+lie apart. So a document near the edge is drawn by chance, in proportion to its weight, one well
+above it is nearly always kept, and one well below it nearly never.
+
+k is a budget of rows. Where none is given it is estimated: a part of the trusted documents is
+held out of the target model, and k is the number of documents whose log weight is at least
+that of all but ``miss`` of the held-out ones.
 
 Bounds: at most ``max_labels`` labelled documents, those with the smallest hash,
 are used as the target; their ids are sent to all tasks. The model has a fixed
 number of buckets. Raw counts come from every document.
 
 Defined results: a document without words (null, empty, white space) has no log
-weight and is never kept; ties at the k-th key are all kept; without trusted
-labels every document with words is kept; an empty table gives an empty result.
+weight and is never kept; equal keys are told apart by a second hash, and rows that agree in
+doc_id and text are kept or lost together; a text of any length is counted and scored whole; null
+ids and labels are left out of the target; columns other than doc_id and text are not looked at
+by :func:`classify` and kept as they are by :func:`keep`; without trusted labels and budget every
+document with words is kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +41,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 1 << 20
-LENGTH = 1024  #: n-grams of the document that log weights are scaled to
+LENGTH = 256  #: n-grams of the document that log weights are scaled to: the temperature of the sampling
 SMOOTH = 5.0  #: added to each bucket's counts, both on the scale of the target model
 PRIOR = 20  #: n-grams of ratio one that every document has besides its own
 
@@ -113,7 +120,7 @@ def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w = np.array([model.value.log_weight(t) for t in _texts(batch.column(1))], np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(w + gumbel(batch.column(2).to_numpy()))], ["doc_id", "log_weight", "sample_key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w), pa.array(w + gumbel(batch.column(2).to_numpy())), batch.column(3)], ["doc_id", "log_weight", "sample_key", "tie"])
 
     return run
 
@@ -122,26 +129,39 @@ def _noise(docs: DataFrame, seed: int):
     return F.xxhash64(docs["doc_id"], common.text_of(docs), F.lit(seed))
 
 
+def _tie(docs: DataFrame, seed: int):
+    """What tells equal sample keys apart: 62 bits, so that differences are longs too."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), common.text_of(docs), docs["doc_id"]), 2)
+
+
 def scored(docs: DataFrame, model, seed: int) -> DataFrame:
-    """doc_id, log_weight and sample_key of every row; model is a broadcast Model of fixed size."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _noise(docs, seed).alias("noise"))
-    return common.map_arrow(rows, _score(model), "doc_id long, log_weight double, sample_key double")
+    """doc_id, log_weight, sample_key and tie of every row; model is a broadcast Model of fixed size."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _noise(docs, seed).alias("noise"), _tie(docs, seed).alias("tie"))
+    return common.map_arrow(rows, _score(model), "doc_id long, log_weight double, sample_key double, tie long")
 
 
-def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 4096, exact: int = 20_000) -> float:
-    """The k-th largest value, by histograms of ever narrower ranges. No more than ``exact`` values are fetched."""
+def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 4096, exact: int = 20_000) -> tuple[float, int]:
+    """The k-th largest value, and how many of the rows that have it belong to the k, by histograms of ever narrower ranges.
+
+    No more than ``exact`` values are fetched.
+    """
     x = F.col(column)
     low, high, n = rows.agg(F.min(x), F.max(x), F.count(x)).first()
     if n == 0 or k <= 0:
-        return math.inf
+        return math.inf, 0
     k = min(k, n)
-    inside = rows
+    whole, inside = isinstance(low, int), rows
     while n > exact and low < high:
-        width = (high - low) / bins
-        if width == 0 or low + width == low:
-            break
-        place = F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-        found = {r.b: (r.n, r.lo, r.hi) for r in inside.groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).collect()}
+        width = max(1, -(-(high - low + 1) // bins)) if whole else (high - low) / bins
+        if not whole and (width == 0 or low + width == low):
+            # a few neighbouring doubles: each is a bin of its own
+            found = {r.v: r.n for r in inside.groupBy(x.alias("v")).agg(F.count("*").alias("n")).collect()}
+            for v in sorted(found, reverse=True):
+                if k <= found[v]:
+                    return v, k
+                k -= found[v]
+        place = F.expr(f"(`{column}` - {low}L) div {width}L") if whole else F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
+        found = {r.b: (r.n, r.lo, r.hi) for r in inside.groupBy(place.cast("int").alias("b")).agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).collect()}
         for b in sorted(found, reverse=True):
             if k <= found[b][0]:
                 n, low, high = found[b]
@@ -149,54 +169,63 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 4096, exact: i
             k -= found[b][0]
         inside = rows.filter((x >= F.lit(low)) & (x <= F.lit(high)))
     if low == high:
-        return low
-    if n > exact:
-        return low  # values that doubles can hardly tell apart: keep them all
-    return sorted((r[0] for r in inside.select(x).collect()), reverse=True)[k - 1]
+        return low, k
+    values = sorted((r[0] for r in inside.select(x).collect()), reverse=True)
+    return values[k - 1], k - sum(v > values[k - 1] for v in values)
+
+
+def cut(rows: DataFrame, k: int) -> tuple[float, int]:
+    """The least sample key that is kept, and the least ``tie`` of rows that have just that key."""
+    least, of_equals = kth_largest(rows, "sample_key", k)
+    if least == math.inf:
+        return least, 0
+    return least, int(kth_largest(rows.filter(F.col("sample_key") == F.lit(least)), "tie", of_equals)[0])
 
 
-def threshold(docs: DataFrame, labels: DataFrame, miss: float, max_labels: int, seed: int, order: int):
-    """The fitted model (broadcast), the scored rows, and the least sample key that is kept."""
+def sampled(docs: DataFrame, labels: DataFrame, miss: float, max_labels: int, seed: int, order: int, rows: int | None = None):
+    """The fitted model (broadcast), the scored rows, and the least sample key and tie that are kept (None: all of them)."""
     spark = docs.sparkSession
     target, held = trusted_ids(labels, max_labels)
     model = spark.sparkContext.broadcast(fit(docs, target, order))
-    rows = common.materialize(scored(docs, model, seed), "importance")
-    real = rows.filter(F.col("log_weight") > F.lit(-math.inf))
-    ids = spark.createDataFrame([(int(i),) for i in held], "held_id long")
-    # the held-out ids are bounded by max_labels
-    known = [r[0] for r in real.join(F.broadcast(ids), real["doc_id"] == ids["held_id"]).select("log_weight").collect()] if len(held) else []
-    if not known:
-        return model, rows, real.agg(F.min("sample_key")).first()[0]
-    floor = float(np.quantile(known, miss))
-    k = real.filter(F.col("log_weight") >= F.lit(floor)).count()
-    return model, rows, kth_largest(real, "sample_key", k)
-
-
-def classify(docs: DataFrame, labels: DataFrame, miss: float = 0.015, max_labels: int = 100_000, seed: int = 11, order: int = 1) -> DataFrame:
-    """doc_id, log_weight, sample_key and kept of every row."""
-    _, rows, least = threshold(docs, labels, miss, max_labels, seed, order)
-    kept = F.col("sample_key") >= F.lit(least) if least is not None else F.lit(False)
+    scores = common.materialize(scored(docs, model, seed), "importance")
+    real = scores.filter(F.col("log_weight") > F.lit(-math.inf))
+    if rows is None:
+        ids = spark.createDataFrame([(int(i),) for i in held], "held_id long")
+        # the held-out ids are bounded by max_labels
+        known = [r[0] for r in real.join(F.broadcast(ids), real["doc_id"] == ids["held_id"]).select("log_weight").collect()] if len(held) else []
+        if not known:
+            return model, scores, None
+        rows = real.filter(F.col("log_weight") >= F.lit(float(np.quantile(known, miss)))).count()
+    return model, scores, cut(real, rows)
+
+
+def classify(docs: DataFrame, labels: DataFrame, miss: float = 0.015, max_labels: int = 100_000, seed: int = 11, order: int = 1, rows: int | None = None) -> DataFrame:
+    """doc_id, log_weight, sample_key and kept of every row. rows: how many to sample."""
+    _, scores, least = sampled(docs, labels, miss, max_labels, seed, order, rows)
     words = F.col("log_weight") > F.lit(-math.inf)
-    return rows.select("doc_id", F.when(words, F.col("log_weight")).alias("log_weight"), F.when(words, F.col("sample_key")).alias("sample_key"), (kept & words).alias("kept"))
+    key = F.col("sample_key")
+    kept = F.lit(True) if least is None else (key > F.lit(least[0])) | ((key == F.lit(least[0])) & (F.col("tie") >= F.lit(least[1])))
+    return scores.select("doc_id", F.when(words, F.col("log_weight")).alias("log_weight"), F.when(words, key).alias("sample_key"), (kept & words).alias("kept"))
 
 
-def _keep(model, least: float, text: int, columns: int):
+def _keep(model, least: tuple[float, int] | None, text: int, columns: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w = np.array([model.value.log_weight(t) for t in _texts(batch.column(text))], np.float64)
-            key = w + gumbel(batch.column(columns).to_numpy())
-            mask = pa.array((key >= least) & (w > -math.inf))
-            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns[:columns]], batch.schema.names[:columns])
+            mask = w > -math.inf
+            if least is not None:
+                noise, tie = (batch.column(columns + i).to_numpy() for i in range(2))
+                key = w + gumbel(noise)
+                mask &= (key > least[0]) | ((key == least[0]) & (tie >= least[1]))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(mask)) for c in batch.columns[:columns]], batch.schema.names[:columns])
 
     return run
 
 
-def keep(docs: DataFrame, labels: DataFrame, miss: float = 0.015, max_labels: int = 100_000, seed: int = 11, order: int = 1) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, miss: float = 0.015, max_labels: int = 100_000, seed: int = 11, order: int = 1, rows: int | None = None) -> DataFrame:
     """The rows of docs that are sampled, with all their columns; no text is shuffled."""
-    model, rows, least = threshold(docs, labels, miss, max_labels, seed, order)
-    common.drop(rows)
-    (noise,) = common.unused(docs, "noise")
-    if least is None:
-        return docs.limit(0)
+    model, scores, least = sampled(docs, labels, miss, max_labels, seed, order, rows)
+    common.drop(scores)
+    noise, tie = common.unused(docs, "noise", "tie")
     run = _keep(model, least, docs.columns.index("text"), len(docs.columns))
-    return common.map_arrow(docs.withColumn(noise, _noise(docs, seed)), run, docs.schema)
+    return common.map_arrow(docs.withColumns({noise: _noise(docs, seed), tie: _tie(docs, seed)}), run, docs.schema)

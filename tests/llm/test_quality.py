@@ -93,7 +93,7 @@ def test_importance_rows(spark, docs, rows, labels):
         if not w:
             assert byid[d].log_weight is None and not byid[d].kept
         else:
-            want = sum(np.log((hits[b] + 5) / (raw[b] * share + 5)) for b in w) * 1024 / (len(w) + 20)
+            want = sum(np.log((hits[b] + 5) / (raw[b] * share + 5)) for b in w) * importance.LENGTH / (len(w) + 20)
             assert abs(byid[d].log_weight - want) < 1e-3
     kept = [o.sample_key for o in out if o.kept]
     lost = [o.sample_key for o in out if not o.kept and o.sample_key is not None]
@@ -110,7 +110,53 @@ def test_kth_largest(spark):
     values = [r.gauss(0, 1) for _ in range(500)] + [0.25] * 40 + [1e9, -1e9]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     for k in (1, 2, 30, 250, 542):
-        assert importance.kth_largest(df, "x", k, bins=4, exact=5) == sorted(values, reverse=True)[k - 1]
+        at = sorted(values, reverse=True)[k - 1]
+        assert importance.kth_largest(df, "x", k, bins=4, exact=5) == (at, k - sum(v > at for v in values))
+    ints = [r.randrange(1 << 62) for _ in range(300)] + [7] * 20
+    df = spark.createDataFrame([(v,) for v in ints], "x long")
+    for k in (1, 150, 305, 320):
+        at = sorted(ints, reverse=True)[k - 1]
+        assert importance.kth_largest(df, "x", k, bins=4, exact=5) == (at, k - sum(v > at for v in ints))
+
+
+def test_exactly_k_of_equal_keys(spark):
+    near = [1.0, float(np.nextafter(1.0, 2)), float(np.nextafter(1.0, 0))]
+    df = spark.createDataFrame([(near[i % 3], i * 7919 % 1000) for i in range(900)], "sample_key double, tie long")
+    for k in (1, 299, 300, 301, 450, 900):
+        least, tie = importance.cut(df, k)
+        assert df.filter(f"sample_key > {least!r}D or (sample_key = {least!r}D and tie >= {tie})").count() == k
+    original = importance.kth_largest
+    assert original(df, "sample_key", 450, exact=10) == original(df, "sample_key", 450)
+
+
+def test_sampling_follows_the_weights(spark):
+    """Kept sets differ by seed and from the noise-free ones, and inclusion is what the weights say."""
+    words = [f"t{i}" for i in range(30)] + [f"r{i}" for i in range(30)]
+    r = np.random.default_rng(5)
+    rows = [(i, " ".join(r.choice(words[:30] if r.random() < (0.5 + 0.02 * (i % 7 - 3)) else words[30:]) for _ in range(150))) for i in range(400)]
+    rows += [(1000 + i, " ".join(r.choice(words[:30] if r.random() < 0.53 else words[30:]) for _ in range(150))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1000 + i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    target, _ = importance.trusted_ids(labels, 1000)
+    model = spark.sparkContext.broadcast(importance.fit(df, target))
+    weight = {o.doc_id: o.log_weight for o in importance.scored(df, model, 0).collect()}
+    ids = sorted(weight)
+    w, k, seeds = np.array([weight[i] for i in ids]), 120, 12
+    assert 0.3 < w.std() < 30
+    kept = []
+    for seed in range(seeds):
+        out = importance.classify(df, labels, seed=seed, rows=k).collect()
+        assert sum(o.kept for o in out) == k
+        kept.append({o.doc_id for o in out if o.kept})
+    plain = {ids[i] for i in np.argsort(-w)[:k]}
+    assert len(set(map(frozenset, kept))) == seeds and all(s != plain for s in kept)
+    freq = np.array([sum(i in s for s in kept) for i in ids]) / seeds
+    u = np.random.default_rng(6).gumbel(size=(4000, len(ids))) + w
+    want = np.mean(u >= np.sort(u, axis=1)[:, -k][:, None], axis=0)
+    order = np.argsort(want)
+    for part in np.array_split(order, 6):
+        assert abs(freq[part].mean() - want[part].mean()) < 0.05
+    assert 0.02 < want[order[len(ids) // 2]] < 0.98  # chance decides in the middle
 
 
 def test_gumbel_samples_in_proportion():
