@@ -55,6 +55,7 @@ GRAM = 24  #: of the strings whose least hash is the minimizer
 SHALLOW = 16  #: bytes that the multikey quicksort goes down to
 PART_BYTES = 24 << 20  #: text for each part
 BATCH_BYTES = 8 << 20  #: text worked on before blobs are sent
+SORT_WINDOWS = 1 << 19  #: suffixes sorted at once, if one minimizer has no more
 HOT = 1 << 14  #: texts from which a minimizer is taken apart
 
 DIGEST = 16  #: bytes of what stands for a 50-byte string of a hot minimizer
@@ -130,7 +131,8 @@ def _batched(rows: Iterator[tuple], size) -> Iterator[list[tuple]]:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        yield from zip(*[c.to_pylist() for c in batch.columns])
+        for i in range(0, batch.num_rows, 256):  # a batch may hold very long texts: not all of them twice
+            yield from zip(*[c.to_pylist() for c in batch.slice(i, 256).columns])
 
 
 def run_keys(h: np.ndarray, parts: int) -> np.ndarray:
@@ -426,11 +428,10 @@ def deep_shallow(data: bytes, at: np.ndarray, group: np.ndarray) -> tuple[np.nda
         parts[1:] |= w[1:] != w[:-1]
     edge = np.append(np.flatnonzero(new), len(at))
     mixed = np.add.reduceat(parts & ~new, edge[:-1]) > 0
-    places = at.tolist()
     for a, b in zip(edge[:-1][mixed].tolist(), edge[1:][mixed].tolist()):
-        trie = BlindTrie()
-        for i in order[a:b].tolist():
-            trie.add(data[places[i] : places[i] + LENGTH], i)
+        trie, some = BlindTrie(), order[a:b]
+        for i, place in zip(some.tolist(), at[some].tolist()):
+            trie.add(data[place : place + LENGTH], i)
         i = a
         for members in trie.ordered():
             order[i : i + len(members)] = members
@@ -469,14 +470,23 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, group, many = np.unique(np.array([minimizer[i] for i in own.tolist()], np.uint64), return_inverse=True, return_counts=True)
         shared = many[group] > 1 if len(own) else np.zeros(0, bool)
         own, group = own[shared], group[shared]
-        data = b"".join([names[i] for i in own.tolist()])
-        place = np.cumsum(size[own]) - size[own]
-        window = _ranges(base[own], count[own])
-        at = _ranges(place, count[own])
-        order, number = deep_shallow(data, at, np.repeat(group, count[own]))
-        if len(order):
-            edge = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
-            low = np.minimum.reduceat(earliest[window[order]], edge)
+        order = np.argsort(group, kind="stable")
+        own, group = own[order], group[order]
+        # minimizers are sorted a few at a time, which bounds memory by the strings of one
+        upto = np.cumsum(count[own])
+        edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else np.zeros(1, np.int64)
+        begin = 0
+        while begin < len(edge) - 1:
+            reach = (upto[edge[begin] - 1] if edge[begin] else 0) + SORT_WINDOWS
+            end = max(begin + 1, int(np.searchsorted(upto[edge[begin + 1 :] - 1], reach, side="right")) + begin)
+            mine, of = own[edge[begin] : edge[end]], group[edge[begin] : edge[end]]
+            begin = end
+            data = b"".join([names[i] for i in mine.tolist()])
+            window = _ranges(base[mine], count[mine])
+            at = _ranges(np.cumsum(size[mine]) - size[mine], count[mine])
+            order, number = deep_shallow(data, at, np.repeat(of, count[mine]))
+            first_of = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+            low = np.minimum.reduceat(earliest[window[order]], first_of)
             earliest[window[order]] = low[number]
         # pieces of equal value in each string
         new = np.zeros(len(earliest), bool)

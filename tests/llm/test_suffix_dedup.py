@@ -74,6 +74,7 @@ def test_small_batches_and_parts(spark, monkeypatch):
         first.setdefault(tid, (d, text))
     parts, texts = 3, [(tid, d, text) for tid, (d, text) in sorted(first.items())]
     monkeypatch.setattr(S, "BATCH_BYTES", 300)
+    monkeypatch.setattr(S, "SORT_WINDOWS", 40)
     batch = lambda rows, cols: [pa.RecordBatch.from_pydict({c: [r[i] for r in rows] for i, c in enumerate(cols)})]
     table = lambda bs: [r for b in bs for r in b.to_pylist()]
     for hot in (3, 1 << 14):
