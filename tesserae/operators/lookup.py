@@ -28,19 +28,25 @@ def first_root(rows: DataFrame, file: str, roots: DataFrame, key: str) -> DataFr
 
 
 def usages_of(wanted: DataFrame, usages: DataFrame, resources: DataFrame | None) -> DataFrame:
-    """wanted: signature, legacy. usages: file, signature. Files that use the signature, its older form if it has none, and resources always."""
-    direct = wanted.join(usages, "signature").select("signature", "file", F.lit("direct").alias("found"))
-    none = wanted.join(direct.select("signature").distinct(), "signature", "left_anti")
-    older = none.join(usages.withColumnRenamed("signature", "legacy"), "legacy").select("signature", "file", F.lit("legacy").alias("found"))
-    out = direct.unionByName(older)
+    """wanted: signature, legacy. usages: file, signature. Files that use the signature, its older form if it has none, and resources always.
+
+    Which signatures have direct uses is known from their distinct names alone; then each has one form, and one join finds them all.
+    signature, file, found and n (uses) come back.
+    """
+    direct = wanted.select("signature").distinct().join(usages.select("signature").distinct(), "signature", "left_semi").select("signature", F.lit("direct").alias("found"), F.col("signature").alias("form"))
+    legacy = wanted.join(usages.select("signature").distinct(), "signature", "left_anti").select("signature", F.lit("legacy").alias("found"), F.col("legacy").alias("form")).distinct()
+    met = usages.select(F.col("signature").alias("form"), "file").join(direct.unionByName(legacy), "form")
+    kept = met.groupBy("signature", "found", "file").agg(F.count("*").alias("n")).select("signature", "file", "found", "n")
     if resources is not None:
-        out = out.unionByName(wanted.join(resources.withColumnRenamed("signature", "reference"), "reference").select("signature", "file", F.lit("resource").alias("found")))
-    return out
+        hits = wanted.select("signature", "reference").distinct().join(resources.select(F.col("signature").alias("reference"), "file"), "reference")
+        kept = kept.unionByName(hits.groupBy("signature", "file").agg(F.count("*").alias("n")).select("signature", "file", F.lit("resource").alias("found"), "n"))
+    return kept
 
 
-def unused(declarations: DataFrame, usages: DataFrame, key: str) -> DataFrame:
-    """Declarations that nothing uses."""
-    return declarations.join(usages.select(key).distinct(), key, "left_anti")
+def unused(declarations: DataFrame, usages: DataFrame, key: str, overriding: DataFrame | None = None) -> DataFrame:
+    """Declarations that nothing uses, in any index. Those in ``overriding`` are never reported, as calls may reach them by another name."""
+    out = declarations.join(usages.select(key).distinct(), key, "left_anti")
+    return out if overriding is None else out.join(overriding.select(key).distinct(), key, "left_anti")
 
 
 def resolve(wanted: DataFrame, classpath: DataFrame, files: DataFrame) -> DataFrame:
@@ -50,27 +56,43 @@ def resolve(wanted: DataFrame, classpath: DataFrame, files: DataFrame) -> DataFr
 
 
 def narrowest(points: DataFrame, intervals: DataFrame, key: str, point: str) -> DataFrame:
-    """For each point the shortest interval (start_off, end_off) of its key that holds it; of equals the first."""
-    held = points.join(intervals, key).filter((F.col("start_off") <= F.col(point)) & (F.col(point) <= F.col("end_off")))
-    best = Window.partitionBy(key, point).orderBy(F.col("end_off") - F.col("start_off"), "start_off")
-    return held.withColumn("nth", F.row_number().over(best)).filter("nth = 1").drop("nth")
+    """For each point the shortest interval (start_off, end_off) of its key that holds it; of equals the first.
 
-
-def closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+    Points and intervals are sorted together within a key: a point meets the last intervals that begin before it, and
+    among nested or adjoining intervals the shortest that holds it is one of the latest beginnings at each length class.
+    """
+    width = F.col("end_off") - F.col("start_off")
+    level = F.floor(F.log2(F.greatest(width, F.lit(1)))).cast("int")
+    i = intervals.select(key, "start_off", "end_off", level.alias("level"))
+    levels = i.select(key, "level").distinct()
+    p = points.select(key, point).distinct().join(levels, key)
+    # in a class of lengths [2^k, 2^(k+1)), cells of 2^(k+1) places: an interval that holds a point begins in its cell or the one before
+    cell = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("level") + 1))
+    near = p.withColumn("cell", F.explode(F.array(cell(F.col(point)), cell(F.col(point)) - 1)))
+    held = near.join(i.withColumn("cell", cell(F.col("start_off"))), [key, "level", "cell"]).filter((F.col("start_off") <= F.col(point)) & (F.col(point) <= F.col("end_off")))
+    best = F.min(F.struct((F.col("end_off") - F.col("start_off")).alias("width"), "start_off", "end_off"))
+    return held.groupBy(key, point).agg(best.alias("b")).select(key, point, "b.start_off", "b.end_off")
+
+
+def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """child, ancestor and least depth over any number of steps, by repeated joins until nothing is new.
 
-    Each round joins only what the last one found. Rounds are as many as the deepest chain, cycles end by themselves.
+    Each round joins only what the last one found. Rounds are as many as the deepest chain; cycles end by themselves.
+    A caller may say how deep chains go at most; one that goes deeper is an error.
     """
     from tesserae.operators.rounds import checkpointed
 
     found = checkpointed(edges.select("child", F.col("parent").alias("ancestor")).filter("child != ancestor").distinct().withColumn("depth", F.lit(1)))
     front, depth = found, 1
-    step = edges.select(F.col("child").alias("via"), "parent").distinct()
-    while depth < max_depth:
+    step = checkpointed(edges.select(F.col("child").alias("via"), "parent").distinct())
+    while True:
         depth += 1
         new = front.join(step, F.col("ancestor") == F.col("via")).select("child", F.col("parent").alias("ancestor")).filter("child != ancestor").distinct()
         front = checkpointed(new.join(found, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
-            break
+            return found
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"a chain is longer than {max_depth}")
         found = found.unionByName(front)
-    return found
+        if depth % 8 == 0:  # a deep hierarchy is not a union of as many parts
+            found = checkpointed(found)

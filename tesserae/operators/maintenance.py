@@ -36,23 +36,57 @@ def _fs(spark: SparkSession, path: str):
 
 
 def publish(df: DataFrame, root: str, partition: str | None = None, files: int | None = None) -> str:
-    """Write a new version below root and point to it in one rename. Readers see the old or the new one."""
+    """Write a new version below root and point to it. Readers see the old or the new one, and never none.
+
+    Pointers are numbered files that are written aside and renamed into place; the one with the greatest number counts,
+    so there is always one. Older ones go after that.
+    """
     spark, version = df.sparkSession, uuid.uuid4().hex
     out = df.coalesce(files) if files else df
     writer = out.write
     (writer.partitionBy(partition) if partition else writer).parquet(f"{root}/versions/{version}")
-    spark.createDataFrame([(json.dumps({"version": version}),)], "value string").coalesce(1).write.text(f"{root}/.next-{version}")
-    current, store = _fs(spark, f"{root}/current")
-    following, _ = _fs(spark, f"{root}/.next-{version}")
-    old, _ = _fs(spark, f"{root}/.old-{version}")
-    if store.exists(current):
-        store.rename(current, old)
-    store.rename(following, current)
-    store.delete(old, True)
+    return _point(spark, root, version)
+
+
+def _pointers(spark: SparkSession, root: str) -> dict[int, str]:
+    where, store = _fs(spark, f"{root}/current")
+    if not store.exists(where):
+        return {}
+    return {int(s.getPath().getName()): s.getPath().toString() for s in store.listStatus(where) if s.getPath().getName().isdigit()}
+
+
+def _point(spark: SparkSession, root: str, version: str) -> str:
+    while True:
+        known = _pointers(spark, root)
+        n = max(known, default=0) + 1
+        spark.createDataFrame([(json.dumps({"version": version}),)], "value string").coalesce(1).write.text(f"{root}/.next-{version}")
+        aside, store = _fs(spark, f"{root}/.next-{version}")
+        to, _ = _fs(spark, f"{root}/current/{n}")
+        store.mkdirs(to.getParent())
+        if not store.exists(to) and store.rename(aside, to):
+            break
+        store.delete(aside, True)  # somebody else was first with this number
+    for k, old in known.items():
+        if k < n - 1:  # the one before stays for readers that have just looked
+            store.delete(_fs(spark, old)[0], True)
     return version
 
 
 def published(spark: SparkSession, root: str) -> DataFrame:
     """The version that root points to."""
-    version = json.loads(spark.read.text(f"{root}/current").first()[0])["version"]
-    return spark.read.parquet(f"{root}/versions/{version}")
+    return spark.read.parquet(f"{root}/versions/{current(spark, root)}")
+
+
+def current(spark: SparkSession, root: str) -> str:
+    """The name of the version that root points to."""
+    known = _pointers(spark, root)
+    if not known:
+        raise FileNotFoundError(f"nothing is published below {root}")
+    return json.loads(spark.read.text(known[max(known)]).first()[0])["version"]
+
+
+def append_only(old: DataFrame, new: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """Documents of a kind that knows no deletion; asking for one is an error."""
+    if removed is not None and not removed.isEmpty():
+        raise ValueError("documents of this kind are not removed")
+    return old.unionByName(new)

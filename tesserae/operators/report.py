@@ -12,16 +12,28 @@ from pyspark.sql.window import Window
 
 #: From least to most; a group has the greatest of its members.
 STATUS = ("NOTHING_TO_DO", "NO_HINTS_FOUND", "SUCCESS", "FAILURE")
+#: What a compiler is told for each severity; anything else is a note.
 SEVERITY = {"error": "ERROR", "verifier": "WARNING", "warning": "WARNING", "hint": "NOTE"}
 
 
+def compiler_severity(severity: Column) -> Column:
+    """ERROR, WARNING or NOTE."""
+    out = None
+    for k, v in SEVERITY.items():
+        out = F.when(F.lower(severity) == k, v) if out is None else out.when(F.lower(severity) == k, v)
+    return out.otherwise("NOTE")
+
+
 def diagnostics(lines: DataFrame, needle: str, severity: Column, label: str) -> DataFrame:
-    """The first hit of a string in each line: path, line, column (both from 1), severity, message.
+    """Every hit of a string in each line, hits that do not overlap: path, line, column (both from 1), severity, message.
 
     The message has a place line, the source line and a line with a caret that keeps the tabs before it.
     """
-    at = F.instr("text", needle)
-    hit = lines.withColumn("column", at.cast("long")).filter("column > 0").withColumn("severity", severity)
+    # the pieces between hits say where these are
+    pieces = F.split("text", "\\Q" + needle + "\\E", -1)
+    start = F.struct(F.lit(1).cast("long").alias("next"), F.array().cast("array<bigint>").alias("found"))
+    found = F.aggregate(F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))), start, lambda a, p: F.struct((a["next"] + F.length(p) + F.lit(len(needle))).alias("next"), F.concat(a["found"], F.array((a["next"] + F.length(p)).cast("long"))).alias("found")), lambda a: a["found"])
+    hit = lines.filter(F.col("text").contains(needle)).withColumn("column", F.explode(found)).withColumn("severity", severity)
     id_ = F.regexp_replace(F.lit(label), "[^A-Za-z0-9]+", "_")
     place = F.concat_ws("", F.col("path").cast("string"), F.lit(":"), (F.col("line") + 1).cast("string"), F.lit(": "), "severity", F.lit(": ["), id_, F.lit("] "), F.lit(label))
     caret = F.concat(F.regexp_replace(F.expr("substring(text, 1, int(column) - 1)"), r"[^\t]", " "), F.lit("^"))
@@ -57,12 +69,32 @@ def snippets(lines: DataFrame, column: str, expression: str, around: int) -> Dat
     # the number of full lines before and after a line names the lines that bound its snippet
     n = F.count(full).over(Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     marked = lines.withColumn("full", full).withColumn("n", n).withColumn("upto", F.coalesce(F.count("full").over(before), F.lit(0)))
-    hit = marked.filter(F.col(column).rlike(expression)).select("path", "line", F.col("upto").alias("h_before"), F.col("n").alias("h_upto"))
+    hit = marked.filter(F.col(column).rlike(expression)).select("path", "line", F.explode(F.sequence(F.col("upto") - around + 1, F.col("n") + around)).alias("n"))
     numbered = marked.filter("full is not null").select("path", F.col("line").alias("at"), "n")
-    low = hit.join(numbered, "path").filter((F.col("n") > F.col("h_before") - around) & (F.col("n") <= F.col("h_upto") + around))
+    low = hit.join(numbered, ["path", "n"], "left")
     return low.groupBy("path", "line").agg(F.least(F.min("at"), F.col("line")).alias("first_line"), F.greatest(F.max("at"), F.col("line")).alias("last_line")).select("path", "line", "first_line", "last_line")
 
 
+def snippet(code: str, start: int, end: int, around: int = 2) -> tuple[str, str, str]:
+    """What stands before, in and behind a place, with as many lines around it that are not blank, escaped for a page."""
+    lines, at, whole = code.split("\n"), 0, []
+    for x in lines:
+        whole.append((at, at + len(x), bool(x.strip())))
+        at += len(x) + 1
+    first = next(i for i, w in enumerate(whole) if start <= w[1])
+    last = next(i for i, w in enumerate(whole) if max(start, end) <= w[1])
+    a, b, n = first, last, 0
+    while a > 0 and n < around:
+        a -= 1
+        n += whole[a][2]
+    n = 0
+    while b < len(whole) - 1 and n < around:
+        b += 1
+        n += whole[b][2]
+    escape = lambda x: x.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace("\n", "<br>").replace('"', "&quot;")
+    return escape(code[whole[a][0] : start]), escape(code[start:end]), escape(code[end : whole[b][1]])
+
+
 def use_pattern(kind: Column, modifiers: Column, owner: Column, name: Column) -> Column:
     """The rule that finds uses of a declaration."""
     static = F.array_contains(modifiers, "STATIC")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.functions import signatures, text
-from tesserae.operators import duplicates, java, lookup, maintenance, names, patterns, report, rounds, rules, statistics
+from tesserae.functions import display, signatures, text
+from tesserae.operators import batch, clones, duplicates, java, locate, lookup, maintenance, names, patterns, report, rounds, rules, statistics
 from tesserae.plans.oracles import ORACLES
 from tesserae.sources import corpus
 from tesserae.sources.shipping import ship
@@ -47,8 +47,8 @@ def q05_distinct_usages(spark, sf):
 
 def q06_references(spark, sf):
     docs = corpus.sources(spark, sf).select(F.col("relative_path").alias("file"), "content")
-    urls = corpus.resources(spark, sf).select(F.col("relative_path").alias("file"), F.col("relative_path").alias("content"))
-    return patterns.references(docs.unionByName(urls), "file", "content")
+    pages = corpus.resources(spark, sf).select(F.col("relative_path").alias("file"), "content")
+    return patterns.references(docs.unionByName(pages), "file", "content")
 
 
 def q07_categories(spark, sf):
@@ -135,18 +135,23 @@ def q17_source_roots(spark, sf):
 
 
 def q18_usages(spark, sf):
+    """Uses of every signature, under its older form if it has none, and in resources: declarations that name it."""
     signed, used = _signed(spark, sf), _used(spark, sf)
     old = F.when(F.col("kind").isin("FIELD", "ENUM_CONSTANT"), F.concat("signature", F.lit(":I"))).otherwise(F.col("signature"))
-    wanted = signed.filter("decl_pos % 7 = 0").select(text.normalized(old).alias("signature"), F.concat_ws(".", "class_fqn", "simple_name").alias("reference"), F.concat(F.lit("old:"), "signature").alias("legacy")).distinct()
-    docs = signed.select(F.concat_ws(".", "class_fqn", "simple_name").alias("signature"), F.col("decl_pos").alias("file")).filter("file % 5 = 0")
-    older = used.select(F.concat(F.lit("old:"), "signature").alias("signature"), "file").filter("file % 3 = 0")
-    found = lookup.usages_of(wanted, used.select("signature", "file").unionByName(older), docs)
-    return found.groupBy("signature", "found").agg(F.count("*").alias("n"), F.countDistinct("file").alias("n_files"))
+    wanted = signed.select(text.normalized(old).alias("signature"), F.concat_ws(".", "class_fqn", "simple_name").alias("reference"), F.concat(F.lit("old:"), "signature").alias("legacy")).distinct()
+    docs = signed.select(F.concat_ws(".", "class_fqn", "simple_name").alias("signature"), F.col("decl_pos").alias("file"))
+    # signatures of static declarations are known in their older form only
+    older = signed.select("signature", F.array_contains("modifiers", "STATIC").alias("static")).groupBy("signature").agg(F.max("static").alias("static"))
+    seen = used.join(older, "signature").select(F.when(F.col("static"), F.concat(F.lit("old:"), "signature")).otherwise(F.col("signature")).alias("signature"), "file")
+    found = lookup.usages_of(wanted, seen, docs)
+    return found.groupBy("signature", "found").agg(F.sum("n").alias("n"), F.count("*").alias("n_files"))
 
 
 def q19_unused(spark, sf):
-    used = corpus.usages(spark, sf).filter("line = 1")
-    return lookup.unused(corpus.features(spark, sf), used, "decl_pos").select("decl_pos", "class_fqn", "simple_name")
+    """Declarations that no line uses; static ones are never reported. Every second key is used by nobody, as keys are doubled."""
+    used = corpus.usages(spark, sf)
+    few = corpus.features(spark, sf).select((F.col("decl_pos") * 2).alias("decl_pos"), "class_fqn", "simple_name", "modifiers")
+    return lookup.unused(few, used, "decl_pos", few.filter(F.array_contains("modifiers", "STATIC"))).select("decl_pos", "class_fqn", "simple_name")
 
 
 def q20_duplicate_hashes(spark, sf):
@@ -155,22 +160,26 @@ def q20_duplicate_hashes(spark, sf):
 
 
 def q21_duplicate_groups(spark, sf):
-    runs = rounds.checkpointed(duplicates.fragments(corpus.table(spark, sf, "documents"), "doc_id", "text"))
-    page = duplicates.ranked(duplicates.accepted(runs), 0)
-    return page.select("hash", "value", "n_files", "n_spans", F.col("first.path").alias("path"), F.col("first.start_off").alias("start_off"), F.col("first.end_off").alias("end_off"))
+    docs = corpus.table(spark, sf, "documents")
+    page = rounds.checkpointed(duplicates.ranked(duplicates.runs(docs, "doc_id", "text"), 0))
+    return duplicates.offsets(page, docs, "doc_id", "text").select("value", "n_lines", "n_files", "n_spans", "path", "start_off", "end_off")
 
 
 def q22_hashes_by_category(spark, sf):
     d = corpus.table(spark, sf, "documents")
     found = duplicates.single(d.select(F.struct("doc_id", "source").alias("k"), "text"), "k", "text").select("hash", "value", F.col("path.doc_id").alias("path"), F.col("path.source").alias("segment"))
-    asked = duplicates.ranked(duplicates.duplicated(found), 0, 20).select("hash")
+    asked = duplicates.duplicated(found).select("hash")
     asked = rounds.checkpointed(asked.unionByName(spark.createDataFrame([("00000000:0",)], "hash string")))
-    return duplicates.by_category(asked, d.select(F.col("source").alias("segment")), found)
+    files = F.array_join(F.transform("files", lambda x: x.cast("string")), ",")
+    return duplicates.by_category(asked, d.select(F.col("source").alias("segment")), found).select("hash", "segment", F.size("files").cast("long").alias("n_files"), files.alias("files"))
 
 
 def q23_usage_and_subtypes(spark, sf):
-    used = corpus.usages(spark, sf).filter("decl_pos % 50 = 0").groupBy("file").agg(F.count("*").alias("n_usages"))
-    sub = corpus.usages(spark, sf).filter("decl_pos % 50 = 1").groupBy("file").agg(F.sort_array(F.collect_set("decl_pos")).alias("subs"))
+    """By order: lines of parts that are public, and the others as subtypes."""
+    f = corpus.features(spark, sf).select("decl_pos", F.array_contains("modifiers", "PUBLIC").alias("public"))
+    each = corpus.usages(spark, sf).join(f, "decl_pos")
+    used = each.filter("public").groupBy("file").agg(F.count("*").alias("n_usages"))
+    sub = each.filter("not public").groupBy("file").agg(F.sort_array(F.collect_set("decl_pos")).alias("subs"))
     return used.join(sub, "file", "full_outer").select("file", F.col("n_usages").isNotNull().alias("usage"), F.coalesce("n_usages", F.lit(0)).alias("n_usages"), F.coalesce(F.array_join(F.transform("subs", lambda x: x.cast("string")), ","), F.lit("")).alias("subtypes"))
 
 
@@ -222,7 +231,7 @@ def q30_use_types(spark, sf):
 
 
 def q31_offsets(spark, sf):
-    spans = corpus.usages(spark, sf).filter("file % 20 = 0").select("file", "decl_pos", "line", (F.col("decl_pos") % 17 + 1).alias("span"))
+    spans = corpus.usages(spark, sf).select("file", "decl_pos", "line", (F.col("decl_pos") % 17 + 1).alias("span"))
     return report.run_lengths(spans, "file", ["line", "decl_pos"], "span")
 
 
@@ -235,9 +244,11 @@ def q32_narrowest(spark, sf):
 
 
 def _diagnosed(spark, sf):
-    lines = duplicates.lines(corpus.table(spark, sf, "documents"), "doc_id", "text")
     labels = corpus.table(spark, sf, "labels").filter("doc_id is not null").select(F.col("doc_id").alias("l_doc"), "quality", "toxic")
-    return report.diagnostics(lines.join(labels, F.col("path") == F.col("l_doc")), "the ", F.when(F.col("quality") == 0, "error").when(F.col("toxic") == 1, "warning").otherwise("note"), "Usage of the")
+    docs = corpus.table(spark, sf, "documents").select("doc_id", "text")
+    known = docs.join(labels, docs["doc_id"] == labels["l_doc"], "left").select(F.struct("doc_id", "quality", "toxic").alias("k"), "text")
+    lines = duplicates.numbered(known, "k", "text").select(F.col("path.doc_id").alias("path"), F.col("path.quality").alias("quality"), F.col("path.toxic").alias("toxic"), "line", "text")
+    return report.diagnostics(lines, "the ", F.when(F.col("quality") == 0, "error").when(F.col("toxic") == 1, "warning").otherwise("note"), "Usage of the")
 
 
 def q33_diagnostics(spark, sf):
@@ -291,7 +302,7 @@ def q40_closure(spark, sf):
 
 
 def q41_snippets(spark, sf):
-    return report.snippets(duplicates.lines(corpus.table(spark, sf, "documents"), "doc_id", "text"), "text", r"(?i)\bcopyright\b|licen[sc]e", 2)
+    return report.snippets(duplicates.numbered(corpus.table(spark, sf, "documents"), "doc_id", "text"), "text", r"(?i)\bcopyright\b|licen[sc]e", 2)
 
 
 def q42_common_prefix(spark, sf):
@@ -301,7 +312,7 @@ def q42_common_prefix(spark, sf):
 
 
 def q43_span_codec(spark, sf):
-    spans = corpus.usages(spark, sf).filter("file % 10 = 0").groupBy("file").agg(F.sort_array(F.collect_set(F.struct(F.col("decl_pos").alias("start"), (F.col("decl_pos") + F.col("line")).alias("end")))).alias("found"))
+    spans = corpus.usages(spark, sf).groupBy("file").agg(F.sort_array(F.collect_set(F.struct(F.col("decl_pos").alias("start"), (F.col("decl_pos") + F.col("line")).alias("end")))).alias("found"))
     packed = text.pack_spans(F.col("found"))
     return spans.select("file", packed.alias("spans"), text.pack_positions(F.col("found")).alias("positions"), text.pack_spans(text.unpack_spans(packed)).alias("again"))
 
@@ -311,19 +322,167 @@ def q44_use_patterns(spark, sf):
 
 
 def q45_java_declarations(spark, sf):
-    return java.extract(corpus.java_files(spark, sf)).select(F.col("path").cast("long").alias("path"), "kind", "simple_name", "descriptor", "element")
+    return java.extract(corpus.java_files(spark, sf)).select(F.col("path").cast("long").alias("path"), "kind", "simple_name", "descriptor", "signature", "element")
 
 
-RULES = rules.parse("'Usage of isEmpty': $var.isEmpty() => $var.size() == 0;; 'typed': $1.isEmpty() :: $1 instanceof java.util.List && $1 instanceof Other => $1.none();;")
+RULES = rules.parse("""'Usage of isEmpty': $var.isEmpty() => $var.size() == 0;;
+'typed': $1.isEmpty() :: $1 instanceof java.util.Collection => $1.none();;
+'text': $1.isEmpty() :: $1 instanceof java.lang.CharSequence => $1.length() == 0 => $1.equals("");;
+'choice': $a.isEmpty() ? $b[0] : $c;;
+'guard': if ($c && $a > 0) { $s$; } => if ($a > 0) { $s$; };;""")
 
 
 def q46_rule_occurrences(spark, sf):
-    found = rules.occurrences(corpus.java_files(spark, sf), RULES[:1])
+    found = rules.occurrences(corpus.java_files(spark, sf), RULES)
     return found.select(F.col("path").cast("long").alias("path"), "label", "start_off", "end_off", "line", "column")
 
 
 def q47_rule_rewrites(spark, sf):
-    return rules.applied(corpus.java_files(spark, sf), RULES[:1]).select(F.col("path").cast("long").alias("path"), "content", F.regexp_count("diff", F.lit("(?m)^[-+] ")).cast("long").alias("n_changed_lines"))
+    """Rules one after the other: texts by their length, lists by their size, the guard without its condition."""
+    some = [RULES[2], RULES[0], RULES[4]]
+    return rules.applied(corpus.java_files(spark, sf), some).select(F.col("path").cast("long").alias("path"), "content", F.regexp_count("diff", F.lit("(?m)^[-+] ")).cast("long").alias("n_changed_lines"))
+
+
+def _declared(spark, sf):
+    return java.extract(corpus.java_files(spark, sf))
+
+
+def q48_subtypes(spark, sf):
+    return java.subtypes(_declared(spark, sf)).select("type", F.col("path").cast("long").alias("path"), "class")
+
+
+def q49_overrides(spark, sf):
+    return java.overrides(_declared(spark, sf)).select(F.col("path").cast("long").alias("path"), "element", "overridden")
+
+
+def q50_java_usages(spark, sf):
+    found = java.usages(corpus.java_files(spark, sf), _declared(spark, sf))
+    return found.filter("element like 'METHOD:%'").groupBy(F.col("path").cast("long").alias("path"), "element", "is_override").agg(F.count("*").alias("n"))
+
+
+def q51_used_types(spark, sf):
+    """Packages, types and fields that sources use."""
+    found = java.usages(corpus.java_files(spark, sf), _declared(spark, sf))
+    return found.filter("element not like 'METHOD:%'").groupBy("element").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_files"))
+
+
+def q52_clones(spark, sf):
+    """Accepted groups of generalised trees, by weight, files and places."""
+    found = rounds.checkpointed(clones.fragments(corpus.java_files(spark, sf)))
+    return clones.accepted(found).groupBy("value", "n_files", "n_spans").agg(F.count("*").alias("n_groups"))
+
+
+def q53_file_flags(spark, sf):
+    """Files that use the class of part 2, or are subtypes of it, and those that override a method of it."""
+    files = corpus.java_files(spark, sf)
+    declared = rounds.checkpointed(java.extract(files))
+    used = rounds.checkpointed(java.usages(files, declared))
+    one = locate.file_flags(used, declared, "CLASS:shop.p.P2").withColumn("of", F.lit("P2"))
+    two = locate.file_flags(used, declared, "METHOD:shop.p.P2:m2:(ILjava/lang/String;)V").withColumn("of", F.lit("m2"))
+    return one.unionByName(two).select("of", F.col("path").cast("long").alias("path"), "usage", F.array_join("subtypes", ",").alias("subtypes"), F.array_join("overriders", ",").alias("overriders"))
+
+
+def q54_typed_search(spark, sf):
+    """Calls of isEmpty in files where something is serializable, and in files with a list of anything."""
+    files, rule = rounds.checkpointed(corpus.java_files(spark, sf)), RULES[:1]
+    a = rules.typed_search(files, rule, ["java.io.Serializable"]).withColumn("required", F.lit("Serializable"))
+    b = rules.typed_search(files, rule, ["java.util.Collection", "java.lang.CharSequence"]).withColumn("required", F.lit("Collection, CharSequence"))
+    return a.unionByName(b).select(F.col("path").cast("long").alias("path"), "pattern", "required", "freq")
+
+
+def q55_rule_spans(spark, sf):
+    return rules.spans(corpus.java_files(spark, sf), RULES[0]).select(F.col("path").cast("long").alias("path"), "spans")
+
+
+def q56_carets(spark, sf):
+    """What stands at the name of the class, at its first call of size, and in the head of the package."""
+    files = corpus.java_files(spark, sf)
+    places = files.select("path", F.explode(F.array(F.instr("content", "class P") + 5, F.instr("content", ".size()"), F.lit(9)).cast("array<long>")).alias("position"))
+    return locate.carets(files, places).select(F.col("path").cast("long").alias("path"), "position", "element", "kind", "declaration", "target")
+
+
+def q57_declaration_spans(spark, sf):
+    d = _declared(spark, sf)
+    wanted = d.filter("kind = 'METHOD'").select("element")
+    return locate.declaration_spans(d, wanted).select(F.col("path").cast("long").alias("path"), "element", F.array_join(F.transform("name_span", lambda x: x.cast("string")), ":").alias("name_span"))
+
+
+def q58_sources_of_types(spark, sf):
+    files = corpus.java_files(spark, sf)
+    d = java.extract(files).join(files.select("path", "segment"), "path")
+    return locate.sources_of(d, d.filter("kind = 'CLASS'").select("name")).select("segment", "name", F.array_join("paths", ",").alias("paths"))
+
+
+def q59_element_names(spark, sf):
+    ship(spark)
+    f = _signed(spark, sf)
+    client = display.client_signature(F.col("kind"), F.col("class_fqn"), F.col("simple_name"), F.lit("(I[J)V"), F.col("class_fqn"))
+    named = f.select("decl_pos", client.alias("client"))
+    return named.select("decl_pos", "client", display.element_name(F.col("client")).alias("shown"), display.strip(F.col("client"), "CLASS:", "INTERFACE:", "METHOD:").alias("stripped"))
+
+
+def q60_rule_texts(spark, sf):
+    f = corpus.features(spark, sf)
+    pattern = F.concat(F.lit("$1."), "simple_name", F.lit("($a$)"))
+    where = F.filter(F.array(F.when(F.array_contains("modifiers", "PUBLIC"), F.struct(F.lit("$1").alias("variable"), F.col("class_fqn").alias("type"))), F.when(F.array_contains("modifiers", "STATIC"), F.struct(F.lit("$a").alias("variable"), F.lit("int").alias("type")))), lambda c: c.isNotNull())
+    made = display.rule_text(pattern, where, F.when(F.array_contains("modifiers", "PRIVATE"), 1).otherwise(0))
+    return f.select("decl_pos", made.alias("rule"), display.query_escaped(F.concat("simple_name", F.lit("&a b/c?d=e:"), "class_fqn")).alias("escaped"))
+
+
+def _tokens(spark, sf):
+    """Lines of an order as tokens that stand behind each other, with gaps."""
+    li = corpus.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), "l_linenumber", "l_partkey")
+    one = li.groupBy("path", "l_linenumber").agg(F.min("l_partkey").alias("part"))
+    category = F.element_at(F.array(F.lit("literal"), F.lit("xml-tag"), F.lit("identifier"), F.lit("")), (F.col("part") % 4 + 1).cast("int"))
+    colours = F.when(F.col("part") % 3 == 0, F.array(F.lit("STATIC"), F.lit("PUBLIC"))).otherwise(F.array().cast("array<string>"))
+    return one.select("path", (F.col("l_linenumber") * 12).cast("long").alias("offset"), (F.col("part") % 12 + 1).alias("length"), category.alias("category"), colours.alias("colours"))
+
+
+def q61_token_colours(spark, sf):
+    return display.coloured(_tokens(spark, sf)).select("path", "offset", "span", "category")
+
+
+def q62_highlights(spark, sf):
+    """Every token of twelve places cut by one highlight of an order, from place 18 on."""
+    t = _tokens(spark, sf).select("path", F.col("offset").alias("start"), F.lit("abcdefghijkl").alias("text"), F.lit("plain").alias("category"))
+    h = corpus.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("path")).agg((F.min("l_partkey") % 20 + 20).alias("h_end")).select("path", F.lit(18).cast("long").alias("h_start"), "h_end")
+    return display.highlighted(t, h).select("path", "start", "text", "category")
+
+
+def q63_resource_expressions(spark, sf):
+    ship(spark)
+    return _signed(spark, sf).select("decl_pos", locate.resource_expressions("signature").alias("expression"))
+
+
+def q64_paths_and_owners(spark, sf):
+    """Remote paths with local files or without, and the folders that local files lie below."""
+    s = corpus.sources(spark, sf).select(F.col("relative_path").alias("path"), "size_bytes")
+    local = s.filter("size_bytes > 1000").select("path", F.concat(F.lit("/home/"), "path").alias("file"))
+    mapped, lost = locate.local_paths(s.select("path"), local)
+    folders = corpus.sources(spark, sf).select(F.concat_ws("/", "segment", "mime").alias("folder")).distinct().withColumn("root", F.concat(F.lit("root:"), "folder"))
+    owned = locate.owners(mapped.select("path", "local_file"), folders).select("path", "local_file", "root")
+    return owned.unionByName(lost.select("path", F.lit(None).cast("string").alias("local_file"), F.lit(None).cast("string").alias("root")))
+
+
+def q65_given_hashes(spark, sf):
+    """Of lines that documents share, those that stand in document 3 or a later copy, and what a cache learns of them."""
+    d = corpus.table(spark, sf, "documents")
+    found = duplicates.single(d, "doc_id", "text").select("hash", "path")
+    asked = rounds.checkpointed(found.groupBy("hash").agg(F.min("path").alias("p")).select("hash"))
+    cache = found.filter("path < 100").distinct()
+    answers, fuller = clones.cached(asked, cache, found.filter("path >= 100").distinct())
+    return fuller.groupBy("hash").agg(F.count("path").alias("n_paths")).join(answers.groupBy("hash").agg(F.min("path").alias("first")), "hash", "left")
+
+
+def q66_compiler_severity(spark, sf):
+    return _diagnosed(spark, sf).groupBy(report.compiler_severity(F.col("severity")).alias("severity")).agg(F.count("*").alias("n"))
+
+
+def q67_batch(spark, sf):
+    """The rules over all segments: status by segment, and what they report in all."""
+    files = corpus.java_files(spark, sf).withColumnRenamed("segment", "group")
+    options = batch.options("--group", "s0", "--group", "s2", "--no-apply")
+    return batch.run(files, RULES, options).status
 
 
 def queries() -> dict:

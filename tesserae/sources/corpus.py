@@ -83,10 +83,35 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path and content of a small Java source for each declaration."""
-    f = features(spark, sf_dir)
-    package, owner = F.substring_index("class_fqn", ".", 2), F.substring_index("class_fqn", ".", -1)
-    static = F.when(F.array_contains("modifiers", "STATIC"), "static ").otherwise("")
-    key = F.col("decl_pos").cast("string")
-    code = F.concat(F.lit("package "), package, F.lit(";\nclass "), owner, F.lit(" {\n "), static, F.lit("void "), F.col("simple_name"), F.lit("(int[] a, String b) {\n  c"), key, F.lit(".isEmpty();\n }\n}\n"))
-    return f.select(key.alias("path"), code.alias("content"))
+    """segment, path and content of a small Java source for each part; sources hang on each other by type and by call.
+
+    The class of part k extends that of k div 4 and calls that of k div 2 + 1; what it declares depends on k.
+    """
+    k = F.col("p_partkey")
+    text = lambda x: x.cast("string")
+    up, other = text(F.expr("p_partkey div 4")), text(F.expr("p_partkey div 2 + 1"))
+    derived, even, fifth = k >= 4, k % 2 == 0, k % 5 == 0
+    part = lambda c, *x: F.when(c, F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])).otherwise("")
+    lines = [
+        F.lit("package shop.p;\nimport java.util.List;\n/* items.isEmpty() in a comment */\npublic class P"),
+        text(k),
+        part(derived, " extends P", up),
+        part(fifth, " implements java.io.Serializable"),
+        F.lit(" {\n private int count"),
+        text(k % 3),
+        F.lit(";\n private List<String> items;\n public void m"),
+        text(k % 3),
+        F.lit("(int a, String b) {\n  if (!items.isEmpty() && a > 0) { count"),
+        text(k % 3),
+        F.lit(" = items.size() + a; }\n  String s = \"x.isEmpty()\";\n }\n"),
+        part(even, " <T extends Comparable<T>> T pick(List<? extends T> l, T[] d) { return l.isEmpty() ? d[0] : l.get(0); }\n"),
+        F.lit(" void call(P"),
+        other,
+        F.lit(" o) { o.m"),
+        text(F.expr("(p_partkey div 2 + 1) % 3")),
+        F.lit("(1, \"x\"); o.next().next(); }\n"),
+        part(derived, " P", up, " next() { return null; }\n"),
+        part(fifth, " static class In { String s; boolean e() { return s.isEmpty(); } }\n"),
+        F.lit("}\n"),
+    ]
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("s"), text(k % 3)).alias("segment"), text(k).alias("path"), F.concat(*lines).alias("content"))

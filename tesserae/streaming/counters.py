@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,11 +25,22 @@ def windowed(log: DataFrame, width: str = "1 hour", late: str | None = None) ->
 
 
 def run_to_end(df: DataFrame, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there and return its result table."""
-    name = "t" + uuid.uuid4().hex
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run a stream over all that is there and return its result table, which lies beside the checkpoint.
+
+    Each micro-batch is written by the executors, under its number, so a batch that runs again replaces itself; in complete
+    mode the last one is the result, else all of them together.
+    """
+    spark, out = df.sparkSession, checkpoint.rstrip("/") + "-result"
+
+    def batch(some: DataFrame, number: int) -> None:
+        some.write.mode("overwrite").parquet(f"{out}/batch={number if mode != 'complete' else 0}")
+
+    query = df.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(out).select(*df.columns)
 
 
 def apply_changes(changes: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None]):
