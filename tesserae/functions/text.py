@@ -33,9 +33,11 @@ def icon(kind: Column, modifiers: Column) -> Column:
     return F.when(kind.isin("FIELD", "METHOD", "CONSTRUCTOR"), F.concat(base, static, seen)).otherwise(base)
 
 
-def category_label(id_: Column) -> Column:
-    """[identifier] of a rule's display name."""
+def category_label(id_: Column, names: Column | None = None) -> Column:
+    """[identifier] of a rule's display name. names: a map from ids to display names; an id that it lacks is unknown."""
     x = F.regexp_replace(id_, "^text/x-java:", "")
+    if names is not None:
+        x = F.coalesce(F.try_element_at(names, x), F.lit("unknown"))
     x = F.replace(F.replace(x, F.lit("=="), F.lit("equals")), F.lit("!="), F.lit("not_equals"))
     x = F.regexp_replace(F.regexp_replace(x, "[^A-Za-z0-9]", "_"), "_+", "_")
     return F.concat(F.lit("["), x, F.lit("] "))

@@ -27,6 +27,18 @@ def first_root(rows: DataFrame, file: str, roots: DataFrame, key: str) -> DataFr
     return best.filter("nth = 1").drop("nth")
 
 
+def root_of(rows: DataFrame, file: str, roots: DataFrame) -> DataFrame:
+    """Every row with the first of its roots in their order; a row without one is an error when it is read."""
+    best = by_root(rows.select(file).distinct(), file, roots).groupBy(file).agg(F.min_by("root", "ordinal").alias("root"))
+    met = rows.join(best, file, "left")
+    return met.withColumn("root", F.coalesce("root", F.raise_error(F.concat(F.lit("no source root for "), F.col(file)))))
+
+
+def lists_by_root(rows: DataFrame, file: str, roots: DataFrame) -> DataFrame:
+    """root and the sorted files of each root that has any."""
+    return by_root(rows.select(file).distinct(), file, roots).groupBy("root").agg(F.sort_array(F.collect_list(file)).alias("files"))
+
+
 def usages_of(wanted: DataFrame, usages: DataFrame, resources: DataFrame | None) -> DataFrame:
     """wanted: signature, legacy. usages: file, signature. Files that use the signature, its older form if it has none, and resources always.
 

@@ -14,12 +14,116 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """All files below a folder as sources: relative_path, content (UTF-8), mime (the suffix), size_bytes."""
+def read_tree(spark: SparkSession, root: str, glob: str = "*", encodings: dict[str, str] | None = None) -> DataFrame:
+    """All files below a folder as sources: relative_path, content, mime (the suffix), size_bytes.
+
+    encodings: by suffix, for files that are not UTF-8; a byte order mark decides before that.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     path = F.regexp_replace("path", "^file:/+", "/")
     base = "/" + root.removeprefix("file://").strip("/") + "/"
-    return files.select(relativize(path, base).alias("relative_path"), F.decode("content", "UTF-8").alias("content"), F.regexp_extract("path", r"\.([^./]+)$", 1).alias("mime"), F.col("length").alias("size_bytes"))
+    mime = F.regexp_extract("path", r"\.([^./]+)$", 1)
+    return files.filter(below(path, base)).select(relativize(path, base).alias("relative_path"), decoded(F.col("content"), mime, encodings).alias("content"), mime.alias("mime"), F.col("length").alias("size_bytes"))
+
+
+def decoded(content: Column, mime: Column, encodings: dict[str, str] | None = None) -> Column:
+    """The text of a file by its byte order mark, or its suffix's encoding, or UTF-8. What is no text in it becomes a replacement character."""
+    head = F.hex(F.substring(content, 1, 3))
+    out = F.when(head == "EFBBBF", _utf8(F.substring(content, F.lit(4), F.length(content))))
+    out = out.when(head.startswith("FEFF") | head.startswith("FFFE"), F.decode(content, "UTF-16"))
+    for suffix, charset in (encodings or {}).items():
+        out = out.when(mime == suffix, F.decode(content, charset))
+    return out.otherwise(_utf8(content))
+
+
+def _utf8(content: Column) -> Column:
+    return F.make_valid_utf8(content.cast("string"))
+
+
+def below(path: Column, root: str) -> Column:
+    """Whether a file lies below the folder of its category."""
+    return path.startswith(root.rstrip("/") + "/")
+
+
+def source_roots(segments: DataFrame) -> DataFrame:
+    """code and relative path of the roots that a segments file names (lines ``code=rel:/path/``); other lines are no roots."""
+    at = F.instr("value", "=")
+    code, path = F.trim(F.expr("substring(value, 1, instr(value, '=') - 1)")), F.trim(F.expr("substring(value, instr(value, '=') + 1)"))
+    rooted = segments.filter(~F.col("value").startswith("#") & (at > 0)).select(code.alias("code"), F.regexp_replace(path, r"\\\\(.)", "$1").alias("path"))
+    return rooted.filter(F.col("path").startswith("rel:")).select("code", F.regexp_replace("path", "^rel:/?", "").alias("relative_path"))
+
+
+def projects(paths: DataFrame, markers: list[str], ignores: list[str] = (), per_project: str | None = None) -> DataFrame:
+    """The projects among files: group 1 of the first marker that a path fits, each once, by the least path in name order.
+
+    A path any part of whose names an ignore pattern fits in full is left out, and so is a project that per_project fits.
+    """
+    part = F.col("path")
+    kept = paths
+    if ignores:
+        pruned = "^(?:" + "|".join(f"(?:{g})" for g in ignores) + ")$"
+        kept = kept.filter(~F.exists(F.split(part, "/"), lambda c: c.rlike(pruned)))
+    hit = F.coalesce(*[F.when(part.rlike(f"^(?:{m})$"), F.regexp_extract(part, f"^(?:{m})$", 1)) for m in markers])
+    found = kept.select(hit.alias("project"), F.split(part, "/").alias("names")).filter("project is not null")
+    if per_project:
+        found = found.filter(~F.col("project").rlike(f"^(?:{per_project})$"))
+    return found.groupBy("project").agg(F.min("names").alias("first")).select("project", "first")
+
+
+def java_root(path: Column, content: Column, option: str | None = None, owner: Column | None = None) -> Column:
+    """The root of a Java source: as an option says, or its owner, or its folder without the parts of its package."""
+    if option is not None:
+        return F.lit(option)
+    package = F.regexp_extract(content, r"(?m)^\s*package\s+([\w.]+)\s*;", 1)
+    folder = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    tail = F.concat(F.lit("/"), F.translate(package, ".", "/"))
+    walked = F.when((package != "") & F.endswith(folder, tail), F.substring(folder, F.lit(1), F.length(folder) - F.length(tail))).otherwise(folder)
+    return walked if owner is None else F.coalesce(owner, walked)
+
+
+def fetched(addresses: DataFrame, timeout: float = 10.0) -> DataFrame:
+    """address, text and lines of what each address answers; a failure gives no text and no lines."""
+
+    def run(batches):
+        import urllib.request
+
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for a in batch["address"]:
+                try:
+                    with urllib.request.urlopen(a, timeout=timeout) as answer:
+                        text = answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
+                    rows.append((a, text, text.splitlines()))
+                except (OSError, ValueError):
+                    rows.append((a, None, []))
+            yield pd.DataFrame(rows, columns=["address", "text", "lines"])
+
+    return addresses.select("address").mapInPandas(run, "address string, text string, lines array<string>")
+
+
+def rule_files(sources: DataFrame) -> DataFrame:
+    """Rules of all rule files among sources (relative_path, content): path, label, pattern, enabled, n_replacements, and problems of those that cannot be read."""
+    from tesserae.sources.shipping import ship
+
+    ship(sources.sparkSession)
+    return sources.filter(F.col("relative_path").rlike(r"(^|/)META-INF/upgrade/[^/]*\.hint$|\.hint$")).select("relative_path", "content").mapInPandas(_rules, "path string, label string, pattern string, enabled boolean, n_replacements int, problem string")
+
+
+def _rules(batches):
+    import pandas as pd
+
+    from tesserae.operators import rules
+
+    for batch in batches:
+        rows = []
+        for path, text in zip(batch["relative_path"], batch["content"]):
+            found, wrong = rules.read(text or "")
+            rows += [(path, r.label, r.pattern, r.enabled, len(r.replacements), None) for r in found] + [(path, None, None, None, None, w) for w in wrong]
+        out = pd.DataFrame(rows, columns=["path", "label", "pattern", "enabled", "n_replacements", "problem"])
+        out["n_replacements"], out["enabled"] = out["n_replacements"].astype("Int32"), out["enabled"].astype("boolean")
+        yield out
 
 
 def relativize(path: Column, root: str) -> Column:

@@ -47,3 +47,8 @@ def apply_changes(changes: DataFrame, checkpoint: str, batch: Callable[[DataFram
     """Hand each micro-batch of a change stream to a function that writes it; reruns get the same number."""
     query = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def kept_up_to_date(df: DataFrame, checkpoint: str, store: Callable[[DataFrame, int], None], every: str = "1 second"):
+    """Hand a stream's counts to a function that stores them, at most once in a while; the running query comes back."""
+    return df.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
