@@ -26,7 +26,9 @@ they are looked for as one sequence of case-folded words, numbers and units, so
 that exact copies are caught; an item without any word or number is not looked for.
 
 Defined results: null texts hold nothing; each row of a contaminated text is
-reported; null item ids are left out; empty tables give an empty result.
+reported, repeated ones too; null item ids are left out; a share of just ``share`` is enough; of values that
+are equally common the item's own is the partner, else the greatest; a text of any length is looked through
+whole; other columns are not looked at, and kept as they are by :func:`clean`; empty tables give an empty result.
 """
 
 from __future__ import annotations

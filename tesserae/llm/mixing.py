@@ -17,7 +17,9 @@ fine histogram, and only documents in the one fine bin that the budget falls
 into are ordered one by one.
 
 Defined results: null texts have size 0; null sources are one source, last;
-null doc_ids are drawn by their text; an empty table gives an empty result.
+null doc_ids are drawn by their text; documents with one key are ordered by doc_id and size, and repeated rows
+one after the other; words of a text of any length are all counted; other columns are not looked at, and kept as they
+are by :func:`mixed`; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ the head of a ``jwt`` must decode to JSON that names its algorithm.
 
 Offsets count code points, ends are exclusive. Defined results: a null text is
 an empty one and has no spans; repeated rows and null doc_ids are kept as they
-are; an empty table gives an empty result.
+are; spans that begin at one place are listed in the order of the kinds; a text of any length is
+scanned whole; columns other than doc_id and text are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ either side of it is partitioned by the same search, so that one huge group of
 copies does not leave other shards empty.
 
 Defined results: a null text counts as an empty one (size 8); null doc_ids and
-repeated rows are rows like any other; an empty table gives an empty result.
+repeated rows are rows like any other; rows that tie in doc_id and text have any of their slots; a
+text of any length is one group, whose bytes are counted and not held; columns other than doc_id and
+text are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql.window import Window
 
 from . import common
 
+BROADCAST_ROWS = 500_000  #: offsets that are sent to all tasks; more are shuffled
 HEX = 15  #: hex digits of the hash that ranges are counted in: 60 bits, which fit a long
 
 
@@ -168,13 +171,18 @@ def _shard_of(cuts: list[str]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("key")))
 
 
-def assign(docs: DataFrame, shards: int = 24, pieces: int = 64, resolution: int = 1 << 14, exact: int = 100_000) -> DataFrame:
+PIECE_ROWS = 50_000  #: rows of a shard that are put in order at a time
+
+
+def assign(docs: DataFrame, shards: int = 24, pieces: int | None = None, resolution: int = 1 << 14, exact: int = 100_000) -> DataFrame:
     """Every row of docs with its shard and its place in that shard.
 
     slot counts from 0 without gaps in each shard. It comes from counts of
-    shards x pieces buckets of rows, so no task sorts a whole shard.
+    shards x pieces buckets of rows, so no task sorts a whole shard; there are as many pieces as keep them small.
     """
     rows = common.materialize(measured(docs), "shard-rows")
+    if pieces is None:
+        pieces = max(64, -(-rows.count() // (shards * PIECE_ROWS)))
     groups = rows.groupBy("key").agg(F.sum("size").alias("size")).withColumn("prefix", F.conv(F.substring("key", 1, HEX), 16, 10).cast("long"))
     cuts = find_cuts(groups, shards, resolution, exact)
     placed = rows.withColumn("shard", _shard_of(cuts).cast("int")).withColumn("piece", F.pmod(F.xxhash64("doc_id", "key"), F.lit(pieces)).cast("int"))
@@ -183,6 +191,6 @@ def assign(docs: DataFrame, shards: int = 24, pieces: int = 64, resolution: int
     offsets = counts.select("shard", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("shard", "piece").orderBy("doc_id", "key")
     numbered = placed.withColumn("nth", F.row_number().over(inside) - 1)
-    # offsets has shards x pieces rows at most, whatever the input
-    joined = numbered.join(F.broadcast(offsets), ["shard", "piece"])
+    # offsets has shards x pieces rows at most, a row for some 50,000 documents
+    joined = numbered.join(F.broadcast(offsets) if shards * pieces <= BROADCAST_ROWS else offsets, ["shard", "piece"])
     return joined.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("nth")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

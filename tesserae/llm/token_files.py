@@ -12,13 +12,19 @@ else than white space, and around single commas, full stops and line feeds, whic
 boundaries of the byte-level pre-tokenizer however the text goes on, and each distinct piece is encoded by the tokenizers
 library once for each worker while the tables of pieces and words have room.
 
+A tokenizer file that cuts otherwise (another pre-tokenizer, a normalizer, added tokens that take white
+space with them) is seen when it is loaded, and whole texts are encoded with it.
+
 Defined results: a null text is an empty one, of which only the end id is
-written; null doc_ids come first; rows that tie are in the order of their texts.
+written; null doc_ids come first; rows that tie are in the order of their texts, and repeated rows each
+have their ids; a text of any length is encoded whole; columns other than doc_id and text are not
+written; an empty table gives empty files and no rows.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -74,6 +80,14 @@ def cut(text: str) -> list[str]:
     return parts[1:]
 
 
+def cuts_like_us(made: dict) -> bool:
+    """Whether a tokenizer file cuts texts as ``_PRE`` does, and encodes each piece by itself: byte-level pairs and nothing around them."""
+    cut_by, model = made.get("pre_tokenizer") or {}, made.get("model") or {}
+    plain = made.get("normalizer") is None and made.get("truncation") is None and made.get("padding") is None
+    whole = model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+    return plain and whole and cut_by.get("type") == "ByteLevel" and cut_by.get("add_prefix_space") is False and cut_by.get("use_regex", True) is True
+
+
 class Encoder:
     """A tokenizer with a table of the pieces it has met.
 
@@ -86,7 +100,9 @@ class Encoder:
 
         self.tokenizer, self.room = Tokenizer.from_file(path), room
         self.pieces, self.words = {_BARE: b""}, {}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.special = [t.content for t in added]
+        self.by_pieces = cuts_like_us(json.loads(self.tokenizer.to_str())) and not any(t.lstrip or t.rstrip or t.single_word or t.normalized or _CUT.search(t.content) or messy(t.content) and any(x in t.content for x in ",.\n ") for t in added)
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -140,6 +156,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if not self.by_pieces:
+            return [self._plain(t) for t in texts]
         out = []
         for i in range(0, len(texts), 64):
             some = texts[i : i + 64]

@@ -3,6 +3,8 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from tesserae.llm import common, importance, mixing, simhash
 
 from test_simhash import roots, slow
@@ -81,3 +83,16 @@ def test_empty(spark, folder, no_docs):
     docs = no_docs
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_columns_that_clash(spark, folder, docs):
+    """Columns named as the stages name their own, and in other case, come through with their values."""
+    names = ["mark", "Nth", "noise", "TIE", "tid", "taken_all", "taken_rows", "m_tid", "k_id", "own"]
+    some = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    for n in names:
+        some = some.withColumn(n, F.concat(F.lit(n + ":"), F.col("doc_id").cast("string")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, some, folder)
+        assert after.columns == some.columns
+        rows = after.collect()
+        assert rows and all(r[n] == f"{n}:{r.doc_id}" for r in rows for n in names)

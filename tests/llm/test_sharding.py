@@ -39,6 +39,30 @@ def test_refined_cuts_equal_full_knowledge():
         assert parts.max() == best
 
 
+def test_huge_groups_never_cost_capacity():
+    """A group with a shard of its own: the largest shard is no larger than what a plain walk needs."""
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        size = r.integers(1, 30, int(r.integers(2, 60)))
+        for _ in range(int(r.integers(0, 3))):
+            size[int(r.integers(0, len(size)))] = int(r.integers(50, 3000))
+        k = int(r.integers(1, 12))
+        ends, whole = np.concatenate([[0], np.cumsum(size)]), np.ones(len(size), bool)
+        starts, left = sharding.cut(k, size, whole, size)
+        assert not left.any() and len(starts) <= k - 1 + (k == 1)
+        parts = np.diff(np.concatenate([[0], ends[starts], [ends[-1]]]))
+        assert parts.max() <= sharding.smallest_capacity(k, ends, whole, False) and parts.sum() == size.sum()
+
+
+def test_many_pieces(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECE_ROWS", 1)
+    monkeypatch.setattr(sharding, "BROADCAST_ROWS", 0)
+    out = sharding.assign(docs, shards=3).collect()
+    for s in range(3):
+        assert sorted(o.slot for o in out if o.shard == s) == list(range(sum(o.shard == s for o in out)))
+    assert len(out) == len(rows)
+
+
 def test_rows(spark, docs, rows):
     for resolution, exact in ((1 << 14, 100_000), (4, 3)):  # the second splits ranges again and again
         out = sharding.assign(docs, shards=5, resolution=resolution, exact=exact).collect()

@@ -34,6 +34,21 @@ def test_pieces_equal_whole_texts(path):
         assert got == want
 
 
+def test_other_tokenizers_encode_whole_texts(path):
+    from tokenizers import Tokenizer
+
+    assert token_files.Encoder(path).by_pieces
+    other = public_tokenizers.path("word_bpe_49k.json")
+    t, mine = Tokenizer.from_file(other), token_files.Encoder(other)
+    assert not mine.by_pieces
+    texts = odd_texts()[::20]
+    assert [np.frombuffer(b, "<u4").tolist() for b in mine.encode(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    made = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "model": {"type": "BPE"}}
+    assert token_files.cuts_like_us(made)
+    for key, value in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", None), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True}), ("model", {"type": "Unigram"}), ("truncation", {"max_length": 5})):
+        assert not token_files.cuts_like_us({**made, key: value})
+
+
 def test_files(spark, docs, rows, path):
     from tokenizers import Tokenizer
 
