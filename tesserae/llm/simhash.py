@@ -97,11 +97,12 @@ class Tile:
     """One home tile and what has been found connected in it."""
 
     def __init__(self, radius: int):
-        self.radius, self.home, self.label = radius, np.empty(0, np.uint64), None
+        self.radius, self.home, self.label, self.copy = radius, np.empty(0, np.uint64), None, False
         self.parts: list[np.ndarray] = []
 
-    def add(self, home: np.ndarray) -> None:
+    def add(self, home: np.ndarray, copy: bool = False) -> None:
         self.parts.append(home)
+        self.copy |= copy
 
     def _merge(self, one: np.ndarray, two: np.ndarray) -> Iterator[tuple[int, int]]:
         """Links between the labels of home fingerprints that are not yet one."""
@@ -126,11 +127,11 @@ class Tile:
         self.up = up.tolist()
 
     def close(self) -> Iterator[tuple[int, int]]:
-        """All home fingerprints are there: link them among themselves."""
+        """All home fingerprints are there: link them among themselves, unless this is a copy of a tile that does so elsewhere."""
         if self.label is None:
             self.home = np.concatenate(self.parts) if self.parts else self.home
             self.label, self.up = np.arange(len(self.home)), list(range(len(self.home)))
-            for x, y in near(self.home, self.home, self.radius):
+            for x, y in near(self.home, self.home, self.radius) if not self.copy else ():
                 m = x < y
                 if m.any():
                     yield from self._merge(x[m], y[m])
@@ -150,6 +151,9 @@ class Tile:
                 self._settle()
 
 
+HOME, COPY, GUEST = 0, 1, 2
+
+
 def _links(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tile, out = None, Tile(radius), []
@@ -160,7 +164,7 @@ def _links(radius: int):
             return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["u", "v"])
 
         for batch in batches:
-            key, guest = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            key, role = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             blocks = batch.column(2)
             fps, ends = blocks.values.to_numpy().view(np.uint64), blocks.offsets.to_numpy()
             for i in range(batch.num_rows):
@@ -168,11 +172,11 @@ def _links(radius: int):
                 if key[i] != now:
                     out.extend(tile.close())
                     now, tile = key[i], Tile(radius)
-                if guest[i]:
+                if role[i] == GUEST:
                     out.extend(tile.close())
                     out.extend(tile.meet(block))
                 else:
-                    tile.add(block)
+                    tile.add(block, role[i] == COPY)
             if len(out) > 10_000:
                 yield flush()
         out.extend(tile.close())
@@ -181,28 +185,35 @@ def _links(radius: int):
     return run
 
 
-def links(fps: DataFrame, radius: int = 3, tile: int = 4096) -> DataFrame:
-    """Pairs (u, v) of distinct fingerprints that span all links within the radius."""
+def links(fps: DataFrame, radius: int = 3, tile: int = 4096, visitors: int = 256) -> DataFrame:
+    """Pairs (u, v) of distinct fingerprints that span all links within the radius.
+
+    A home tile that more than ``visitors`` tiles visit is copied, and each copy meets its share of them.
+    """
     spark = fps.sparkSession
     counts = [F.bit_count(F.shiftrightunsigned("fp", WORD_BITS * i).bitwiseAND(F.lit((1 << WORD_BITS) - 1))) for i in range(WORDS)]
     cell_no = lambda cs: sum((c * SIDE**i for i, c in enumerate(cs)), F.lit(0)).cast("int")
     rows = fps.select("fp", F.array(*counts).alias("counts"), cell_no(counts).alias("cell"))
     # at most 17 ** 4 cells, whatever the input
-    cells = F.broadcast(rows.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles")))
-    own = rows.join(cells, "cell").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    cells = common.materialize(rows.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles")), "cells")
+    own = rows.join(F.broadcast(cells), "cell").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     # a block is a tile's fingerprints, some ``tile`` at most; from here on blocks travel, a row for each pair of tiles that may hold links
     blocks = own.groupBy("cell", "tile").agg(F.first("counts").alias("counts"), F.collect_list("fp").alias("block"))
     blocks = common.materialize(blocks, "tiles")
-    home = blocks.select("cell", "tile", F.lit(0).alias("guest"), "block")
     steps = F.array(*[F.array(*map(F.lit, d)) for d in offsets(radius)])
     there = F.explode(F.filter(F.transform(steps, lambda d: F.transform(F.arrays_zip(F.col("counts").alias("c"), d.alias("d")), lambda z: z["c"] + z["d"])), lambda cs: F.forall(cs, lambda c: (c >= 0) & (c < SIDE))))
-    sent = blocks.select("block", F.col("cell").alias("from"), F.col("tile").alias("from_tile"), there.alias("cs"))
-    sent = sent.select("block", "from", "from_tile", cell_no([F.col("cs")[i] for i in range(WORDS)]).alias("cell")).join(cells, "cell")
-    sent = sent.select("block", "cell", F.when(F.col("cell") == F.col("from"), F.col("from_tile")).otherwise(F.col("tiles")).alias("upto")).filter("upto > 0")
-    guests = sent.select("cell", F.explode(F.sequence(F.lit(0), F.col("upto") - 1)).alias("tile"), F.lit(1).alias("guest"), "block")
-    key = (F.col("cell").cast("long") * F.lit(1 << 32) + F.col("tile")).alias("key")
+    aim = lambda df, *more: df.select(*more, F.col("cell").alias("from"), there.alias("cs")).select(*more, "from", cell_no([F.col("cs")[i] for i in range(WORDS)]).alias("cell"))
+    # how many tiles visit each tile of a cell, and so how many copies there are of it
+    come = aim(rows.select("cell", "counts").distinct()).join(F.broadcast(cells.withColumnRenamed("cell", "from").withColumnRenamed("tiles", "n")), "from").groupBy("cell").agg(F.sum("n").alias("n"))
+    copies = common.materialize(cells.join(come, "cell", "left").select("cell", "tiles", F.greatest(F.ceil(F.col("n") / F.lit(visitors)), F.lit(1)).cast("int").alias("copies")), "tile-copies")
+    known = F.broadcast(copies)
+    home = blocks.join(known, "cell").select("cell", "tile", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "block").withColumn("role", F.when(F.col("copy") == 0, HOME).otherwise(COPY))
+    sent = aim(blocks, "block", "tile").withColumnRenamed("tile", "from_tile").join(known, "cell")
+    sent = sent.select("block", "cell", "copies", "from", "from_tile", F.when(F.col("cell") == F.col("from"), F.col("from_tile")).otherwise(F.col("tiles")).alias("upto")).filter("upto > 0")
+    guests = sent.select("cell", F.explode(F.sequence(F.lit(0), F.col("upto") - 1)).alias("tile"), F.pmod(F.xxhash64("from", "from_tile"), F.col("copies")).cast("int").alias("copy"), "block", F.lit(GUEST).alias("role"))
+    key = (F.col("cell").cast("long") * F.lit(1 << 40) + F.col("tile").cast("long") * F.lit(1 << 16) + F.col("copy")).alias("key")
     n = max(common.conf_int(spark, "spark.sql.shuffle.partitions", 200), 4 * spark.sparkContext.defaultParallelism)
-    dealt = home.unionByName(guests).select(key, "guest", "block").repartition(n, "key").sortWithinPartitions("key", "guest")
+    dealt = home.unionByName(guests).select(key, "role", "block").repartition(n, "key").sortWithinPartitions("key", "role")
     return common.map_arrow(dealt, _links(radius), "u long, v long")
 
 

@@ -67,8 +67,8 @@ def test_links_span_every_pair(spark):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     want = roots(nodes, [(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :] if (a ^ b).bit_count() <= 3])
     df = spark.createDataFrame([(signed(n),) for n in nodes], "fp long")
-    for tile in (4096, 3):
-        got = roots(nodes, [(r.u & (1 << 64) - 1, r.v & (1 << 64) - 1) for r in simhash.links(df, tile=tile).collect()])
+    for tile, visitors in ((4096, 256), (3, 256), (3, 1), (4096, 2)):
+        got = roots(nodes, [(r.u & (1 << 64) - 1, r.v & (1 << 64) - 1) for r in simhash.links(df, tile=tile, visitors=visitors).collect()])
         assert got == want
 
 
