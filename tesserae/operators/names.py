@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.operators.rounds import shared_folder
+
 EXACT, PREFIX, CI_PREFIX, REGEXP, CI_REGEXP, CAMEL = "EXACT", "PREFIX", "CASE_INSENSITIVE_PREFIX", "REGEXP", "CASE_INSENSITIVE_REGEXP", "CAMEL_CASE"
 KINDS = (EXACT, PREFIX, CI_PREFIX, REGEXP, CI_REGEXP, CAMEL)
 
@@ -46,7 +49,7 @@ def humps(text: str) -> str:
 
 
 def matches(query: Query | None, name: Column, lower: Column) -> Column:
-    """Whether a name is hit. lower: the name in lower case, kept beside it so that prefixes can be pushed down."""
+    """Whether a name is hit. lower: the name in lower case. Over a table that :func:`indexed` wrote, names and prefixes reach the scan."""
     if query is None:
         return F.lit(False)
     if query.kind == EXACT:
@@ -62,6 +65,24 @@ def matches(query: Query | None, name: Column, lower: Column) -> Column:
     return name.rlike(humps(query.text)) | lower.startswith(query.text.lower())
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def indexed(features: DataFrame, key: str) -> DataFrame:
+    """The features as a table in the order of their lower-case names, written once for an application and key.
+
+    Statistics of its row groups then leave out what a prefix cannot hit, and searches read little more than their hits.
+    """
+    spark = features.sparkSession
+    name = (spark.sparkContext.applicationId, key)
+    if name not in _indexes:
+        where = f"{shared_folder(spark)}/names-{uuid.uuid4().hex}"
+        ordered = features.repartitionByRange("simple_name_lower").sortWithinPartitions("simple_name_lower", "simple_name")
+        ordered.write.option("parquet.block.size", str(4 << 20)).parquet(where)
+        _indexes[name] = where
+    return spark.read.schema(features.schema).parquet(_indexes[name])
+
+
 def simple_of(fqn: Column) -> Column:
     """After the last $, else after the last dot."""
     return F.regexp_extract(fqn, r"([^.$]*)$", 1)

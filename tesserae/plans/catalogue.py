@@ -66,7 +66,7 @@ def q08_projects(spark, sf):
 
 
 def _named(spark, sf, query):
-    f = corpus.features(spark, sf)
+    f = names.indexed(corpus.features(spark, sf), sf)
     return f.filter(names.matches(query, F.col("simple_name"), F.col("simple_name_lower")))
 
 
@@ -273,11 +273,10 @@ def q37_streamed_counts(spark, sf):
     import uuid
 
     log = corpus.table(spark, sf, "events")
-    rounds.checkpointed(spark.range(1))  # sees to it that the session has a shared folder
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    where = rounds.shared_folder(spark)
     files = spark.readStream.schema(log.schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf)
     keys = files.select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("key"))
-    return counters.run_to_end(counters.counts(keys), f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}")
+    return counters.run_to_end(counters.counts(keys), f"{where}/stream-{uuid.uuid4().hex}")
 
 
 def _changes(spark, sf):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -20,12 +22,14 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    out = os.path.join(tempfile.mkdtemp(prefix="tesserae-"), "tesserae.zip")
+    folder = tempfile.mkdtemp(prefix="tesserae-")  # of the driver alone, which serves the file from there
+    atexit.register(shutil.rmtree, folder, True)
+    out = os.path.join(folder, "tesserae.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(top):
+        for at, _, names in os.walk(top):
             for n in sorted(names):
                 if n.endswith(".py"):
-                    path = os.path.join(folder, n)
+                    path = os.path.join(at, n)
                     z.write(path, os.path.join("tesserae", os.path.relpath(path, top)))
     spark.sparkContext.addPyFile(out)
     _shipped.add(app)
