@@ -56,13 +56,17 @@ def marked(text: Column, keep: bool, folded: bool = False) -> Column:
     """The text with placeholders, each followed by what it stands for if keep. If folded, case is folded first and names stay words."""
     unit = "|".join(dict.fromkeys(u.lower() for u in UNITS) if folded else UNITS)
     one, two = ("$1", "$2") if keep else ("", "")
-    t = F.regexp_replace(F.upper(text) if folded else text, f"[{NUM}{NAME}{UNIT}]", " ")
+    raw = F.upper(text) if folded else text
+    # most texts hold no placeholder and no digit: a look for one spares them the replacements
+    held = raw.contains(NUM) | raw.contains(NAME) | raw.contains(UNIT)
+    t = F.when(held, F.regexp_replace(raw, f"[{NUM}{NAME}{UNIT}]", " ")).otherwise(raw)
     if folded:  # by way of capitals, as ß and SS; Spark would leave out upper() right inside lower()
         t = F.lower(t)
     # lookaheads stand first: a lookbehind at every place of the text is what takes time
-    t = F.regexp_replace(t, rf"([$€£¥])\s?({_NUMBER})", f" {UNIT}{one} {NUM}{two} ")
-    t = F.regexp_replace(t, rf"(?=[0-9])(?<!{NUM})({_NUMBER})\s?({unit})(?![{_LETTER}])", f" {NUM}{one} {UNIT}{two} ")
-    t = F.regexp_replace(t, rf"(?=[0-9])(?<![{NUM}0-9.,])({_NUMBER})", f" {NUM}{one} ")
+    n = F.regexp_replace(t, rf"([$€£¥])\s?({_NUMBER})", f" {UNIT}{one} {NUM}{two} ")
+    n = F.regexp_replace(n, rf"(?=[0-9])(?<!{NUM})({_NUMBER})\s?({unit})(?![{_LETTER}])", f" {NUM}{one} {UNIT}{two} ")
+    n = F.regexp_replace(n, rf"(?=[0-9])(?<![{NUM}0-9.,])({_NUMBER})", f" {NUM}{one} ")
+    t = F.when(text.rlike("[0-9]"), n).otherwise(t)
     if folded:
         return t
     t = F.regexp_replace(t, rf"(?=\p{{Lu}})(?<![{_LETTER}{UNIT}])(\p{{Lu}}[{_LETTER}]*)", f" {NAME}{one} ")
@@ -71,7 +75,7 @@ def marked(text: Column, keep: bool, folded: bool = False) -> Column:
 
 def template(text: Column, folded: bool = False) -> Column:
     """The template words of a text."""
-    return F.filter(F.split(marked(text, False, folded), f"[^{_LETTER}{NUM}{NAME}{UNIT}]+"), lambda w: w != "")
+    return F.array_remove(F.split(marked(text, False, folded), f"[^{_LETTER}{NUM}{NAME}{UNIT}]+"), "")
 
 
 def filled(text: Column, folded: bool = False) -> Column:
@@ -135,7 +139,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, broadca
     n_windows = items.count()
     texts = _texts(docs)
     # a window without a name hashes alike in both views: hits may only be too many here, the words decide
-    hashes = F.array_distinct(F.concat(*[F.coalesce(_hashes(F.col(f"words{v}")), F.array().cast("array<bigint>")) for v in views]))
+    # windows that a text repeats may come again; what hits is made distinct where it is counted
+    hashes = F.concat(*[F.coalesce(_hashes(F.col(f"words{v}")), F.array().cast("array<bigint>")) for v in views])
     wide = texts.select("tid", *[template(F.col("text"), v == FOLDED).alias(f"words{v}") for v in views]).select("tid", F.explode(hashes).alias("d_hash"))
     looked = items.select("item_id", "view", "hash", "n_windows").distinct()
     hits = wide.join(hint(looked, n_windows), wide["d_hash"] == looked["hash"]).select("tid", "item_id", "view", "hash", "n_windows")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +60,18 @@ def test_templates_line_up(spark):
     assert "\x03kg" in r.b and "\x014.50" in r.b and "\x02ann" in r.b and "mountains" in r.b and "\x03m" in r.b
 
 
+def test_texts_without_digits_give_the_same_words(spark):
+    """A text's words are those that it has beside a number at its end."""
+    r = random.Random(3)
+    bits = ["word", "Word", "WORD", "iPhone", "É", "été", "ß", "Straße", "ﬁ", "ΑΣ", "Σ", "σας", "ǅ", "ǆ", "𝐀b", "İx", "ı", "e\u0301", "\u0301E", "日本", "x_y", "don't", "O'Neil", "a-B", "kg", "KG", "\n", "  ", ".", "$", "€", "12", "7kg", "\x02", "ŉ", "Ⅷ", "ⓐ"]
+    texts = ["".join(r.choice(bits) + r.choice(["", " ", " ", ", "]) for _ in range(r.randrange(0, 12))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for folded in (False, True):
+        longer = D.template(F.concat("t", F.lit(" ! 5")), folded)
+        got = df.select("t", D.template(F.col("t"), folded).alias("a"), longer.alias("b")).collect()
+        assert not [(x.t, x.a, x.b) for x in got if [*x.a, D.NUM] != x.b]
+
+
 def test_empty(spark, leaky, bench, no_docs):
     assert D.contaminated(no_docs, bench).count() == 0
     assert D.contaminated(leaky, bench.limit(0)).count() == 0
