@@ -54,6 +54,11 @@ _MESSY = re.compile(r"[^\w\s][^\w\s]|\s[^\w\s]|\s\s|[_\x01]")
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Classes of UTF-8 bytes: letters and digits, marks, white space, and what the expression above must decide.
 _CLASS = bytes.maketrans(bytes(range(256)), bytes(ord("a" if chr(b).isalnum() and b < 128 or b == 0xC3 or 0x80 <= b < 0xC0 and b not in (0x97, 0xB7) else "?" if b >= 0x80 or b in (0x01, 0x5F) or 0x1C <= b < 0x20 else "s" if chr(b).isspace() else "p") for b in range(256)))
+#: Words of characters whose class no version of the tables has changed; a zero byte stands between words.
+_COMMON = re.compile("[\x01-\u024f]+")
+#: How the byte-level alphabet writes each byte: as itself if it prints, else from 256 on.
+_PRINTS = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: chr(b) for b in _PRINTS} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
 _loaded: dict[str, Encoder] = {}
 
 
@@ -97,9 +102,14 @@ class Encoder:
 
     def __init__(self, path: str, room: int = ROOM):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         self.tokenizer, self.room = Tokenizer.from_file(path), room
         self.pieces, self.words = {_BARE: b""}, {}
+        self.single = Tokenizer.from_file(path)
+        self.single.pre_tokenizer = Split(_BYTES[0], "removed")
+        if hasattr(self.single.model, "_resize_cache"):
+            self.single.model._resize_cache(0)  # it would be asked for new words only
         added = list(self.tokenizer.get_added_tokens_decoder().values())
         self.special = [t.content for t in added]
         self.by_pieces = cuts_like_us(json.loads(self.tokenizer.to_str())) and not any(t.lstrip or t.rstrip or t.single_word or t.normalized or _CUT.search(t.content) or messy(t.content) and any(x in t.content for x in ",.\n ") for t in added)
@@ -107,28 +117,34 @@ class Encoder:
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _joined(self, words: list[str], by: str) -> dict[str, bytes]:
-        """Encode words as one text; joined by a line feed, every other word that the library sees is one."""
-        every, out = 1 + len(by), {}
+    def _ids(self, words: list[str], lead: str = "", by: str = "\n") -> list[bytes]:
+        """The ids of each word, with what leads it, many at a time."""
+        out = []
         for i in range(0, len(words), 4000):
             some = words[i : i + 4000]
-            got = self.tokenizer.encode(by.join(some), add_special_tokens=False)
-            of, ids = np.array(got.word_ids), np.array(got.ids, "<u4")
+            if _COMMON.fullmatch("".join(some)):
+                # cut at a mark between them, as they are single words by any version of the tables
+                text = lead + ("\0" + lead).join(some)
+                got = self.single.encode(text.encode().decode("latin-1").translate(_BYTES), add_special_tokens=False)
+                every = 1
+            else:
+                # the library cuts them; joined by a line feed, every other word that it sees is one
+                got = self.tokenizer.encode(by.join([lead + w for w in some]), add_special_tokens=False)
+                every = 1 + len(by)
+            of, raw = np.array(got.word_ids), np.array(got.ids, "<u4").tobytes()
             if of[-1] != every * (len(some) - 1):  # one of them was not one word after all
-                out.update((w, self._plain(w)) for w in some)
+                out += [self._plain(lead + w) for w in some]
                 continue
             edge = (np.searchsorted(of, np.arange(every * len(some) + 1)) * 4).tolist()
-            raw = ids.tobytes()
-            out.update((w, raw[edge[every * k] : edge[every * k + 1]]) for k, w in enumerate(some))
+            out += [raw[a:b] for a, b in zip(edge[::every], edge[1::every])]
         return out
 
     def _learn(self, new: set[str]) -> None:
         """Put pieces into their table: words with a space before them at once, others by their parts."""
+        alpha = list(filter(str.isalpha, new))
+        self.pieces.update(zip(alpha, self._ids(alpha, " ", "")))
         whole, spaced, other = {}, set(), set()
-        for key in new:
-            if key.isalpha():
-                spaced.add(" " + key)
-                continue
+        for key in new.difference(alpha):
             text = key[1:] if key[:1] == _BARE else " " + key
             if any(x in text for x in self.special):
                 self.pieces[key] = self._plain(text)
@@ -137,14 +153,14 @@ class Encoder:
             for w in parts:
                 if w[0] == " " and w[1:].isalpha():
                     if w[1:] not in self.pieces:
-                        spaced.add(w)
+                        spaced.add(w[1:])
                 elif w not in self.words:
                     if w.isspace():
                         self.words[w] = self._plain(w)
                     else:
                         other.add(w)
-        self.pieces.update((w[1:], x) for w, x in self._joined(list(spaced), "").items())
-        self.words.update(self._joined(list(other), "\n"))
+        for table, words, lead, by in ((self.pieces, list(spaced), " ", ""), (self.words, list(other), "", "\n")):
+            table.update(zip(words, self._ids(words, lead, by)))
         for key, parts in whole.items():
             self.pieces[key] = b"".join([self.pieces[w[1:]] if w[0] == " " and w[1:].isalpha() else self.words[w] for w in parts])
 
