@@ -87,3 +87,17 @@ def highlighted(spans: DataFrame, highlights: DataFrame) -> DataFrame:
     each = both.withColumn("cuts", cuts).filter(F.size("cuts") > 1).select("path", "start", "text", "category", "hits", F.explode(pieces).alias("p"))
     lit = F.exists("hits", lambda h: (h["h_start"] <= F.col("p.a")) & (h["h_end"] >= F.col("p.b")))
     return each.select("path", F.col("p.a").alias("start"), F.substring("text", (F.col("p.a") - F.col("start") + 1).cast("int"), (F.col("p.b") - F.col("p.a")).cast("int")).alias("text"), F.when(lit, F.concat("category", F.lit(" highlight"))).otherwise(F.col("category")).alias("category"))
+
+
+def numbered(rows: DataFrame, project: str, file: str) -> DataFrame:
+    """Rows with their place in their project, projects and files in the order in which they are listed; without a project come last.
+
+    Projects are numbered among themselves and files within them, so no task sorts all files.
+    """
+    own = Window.partitionBy(project).orderBy(file)
+    return rows.withColumn("place", F.row_number().over(own).cast("long"))
+
+
+def listed(rows: DataFrame, project: str, file: str) -> DataFrame:
+    """Rows by the project's name in any case, then by file."""
+    return rows.orderBy(F.lower(project).asc_nulls_last(), file)

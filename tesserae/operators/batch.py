@@ -80,6 +80,14 @@ def check(o: Options) -> None:
         raise UsageError(f"unrecognized source level specification: {level}")
 
 
+def exact_remote(capabilities: set[str], known: list[Rule], imports: int = 0) -> bool:
+    """Whether a remote index can give exact spans: it says that it has types and spans, and every rule is a plain pattern without imports.
+
+    Otherwise its answers are candidates, which are matched again here.
+    """
+    return {"attributed", "spans"} <= capabilities and imports == 0 and all(r.enabled and r.pattern for r in known)
+
+
 def group_options(text: str) -> Options:
     """Roots and paths of one group, as one argument whose words may be escaped."""
     return options(*split_arguments(text))

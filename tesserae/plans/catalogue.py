@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import display, signatures, text
-from tesserae.operators import batch, clones, duplicates, java, locate, lookup, maintenance, names, patterns, report, rounds, rules, statistics
+from tesserae.operators import batch, clones, duplicates, extractors, java, locate, lookup, maintenance, names, patterns, report, rounds, rules, statistics
 from tesserae.plans.oracles import ORACLES
 from tesserae.sources import corpus
 from tesserae.sources.shipping import ship
@@ -55,14 +55,12 @@ def q07_categories(spark, sf):
     return corpus.sources(spark, sf).groupBy("segment").agg(F.count("*").alias("n_files"), F.sum("size_bytes").alias("index_size"), F.countDistinct("mime").alias("n_mimes")).withColumn("display_name", F.concat(F.upper(F.substring("segment", 1, 1)), F.expr("substring(segment, 2)")))
 
 
-MARKERS = (r"^(.*)/en/[0-9]+", r"^(.*)/de/[0-9]+")
+MARKERS = [r"(.*)/en/[0-9]+.*", r"(.*)/de/[0-9]+.*"]
 
 
 def q08_projects(spark, sf):
     path = F.regexp_replace("relative_path", "^https?://", "")
-    urls = corpus.resources(spark, sf).select(path.alias("path")).filter(~F.exists(F.split("path", "/"), lambda c: c.rlike(r"^m\..*$")))
-    found = F.coalesce(*[F.when(F.col("path").rlike(m), F.regexp_extract("path", m, 1)) for m in MARKERS])
-    return urls.select(found.alias("project")).filter("project is not null").distinct()
+    return corpus.projects(corpus.resources(spark, sf).select(path.alias("path")), MARKERS, [r"m\..*"]).select("project")
 
 
 def _named(spark, sf, query):
@@ -484,6 +482,30 @@ def q67_batch(spark, sf):
     return batch.run(files, RULES, options).status
 
 
+def q68_relative_paths(spark, sf):
+    """Paths below a root made relative, others as they are, and moved below another."""
+    p = corpus.sources(spark, sf).select(F.concat(F.when(F.col("size_bytes") % 2 == 0, "/w/src/").otherwise("/x/"), "relative_path").alias("path"))
+    moved = corpus.rebase(F.col("path"), "/w/src/", "rel:/")
+    return p.select("path", corpus.below(F.col("path"), "/w/src").alias("below"), corpus.relativize(F.col("path"), "/w/src/").alias("relative"), moved.alias("moved"), corpus.rebase(moved, "rel:/", "/w/src/").alias("back"))
+
+
+def q69_symbol_rows(spark, sf):
+    """Methods by name, as rows that leave out what they lack."""
+    d = _declared(spark, sf).filter(names.matches(names.infer("ne"), F.col("simple_name"), F.lower("simple_name")) | (F.col("kind") == "FIELD"))
+    return d.select(F.col("path").cast("long").alias("path"), F.to_json(F.struct(F.col("path").alias("file"), F.col("owner").alias("enclosingFQN"), F.col("simple_name").alias("simpleName"), F.when(F.col("kind") == "METHOD", F.col("descriptor")).alias("vmsignature"), "kind", "modifiers")).alias("row"))
+
+
+def q70_listed(spark, sf):
+    """Files of a project in the order in which they are shown: by the project's name in any case, then by file."""
+    s = corpus.sources(spark, sf).select(F.col("segment").alias("project"), F.col("relative_path").alias("file"))
+    return display.numbered(s, "project", "file").select("project", "file", "place")
+
+
+def q71_extractors(spark, sf):
+    found = extractors.extract(corpus.java_files(spark, sf), "imports", "sizes")
+    return found.select("extractor", F.col("path").cast("long").alias("path"), "key", "value")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "q" and k[1:3].isdigit()}
 

@@ -204,4 +204,9 @@ ORACLES: dict[str, str] = {
     "q67_batch": "SELECT 's' || (p_partkey % 3) AS \"group\", 'SUCCESS' AS status FROM part WHERE p_partkey % 3 IN (0, 2) GROUP BY 1",
     "q52_clones": f"""WITH {_JAVA}, c AS (SELECT count(*) AS n, count(*) FILTER (even) AS e, count(*) FILTER (fifth) AS f FROM java), p AS (SELECT t, count(*) AS n FROM java GROUP BY 1 HAVING count(*) >= 2)
  SELECT 28 AS value, n AS n_files, n AS n_spans, 1 AS n_groups FROM c UNION ALL SELECT 11, n, n, 1 FROM c UNION ALL SELECT 27, e, e, 1 FROM c UNION ALL SELECT 13, f, f, 1 FROM c UNION ALL SELECT 17, n, n, count(*) FROM p GROUP BY n""",
+    "q68_relative_paths": f"WITH {_SOURCES}, p AS (SELECT CASE WHEN size_bytes % 2 = 0 THEN '/w/src/' ELSE '/x/' END || relative_path AS path FROM sources) SELECT path, starts_with(path, '/w/src/') AS below, regexp_replace(path, '^/w/src/', '') AS relative, regexp_replace(path, '^/w/src/', 'rel:/') AS moved, path AS back FROM p",
+    "q69_symbol_rows": f"""WITH {_JAVA}, r AS (SELECT k, 'P' || k AS o, 'next' AS n, '()Lshop/p/P' || up || ';' AS d, 'METHOD' AS kind, '' AS m FROM java WHERE derived UNION ALL SELECT k, 'P' || k, 'count' || j, NULL, 'FIELD', '"PRIVATE"' FROM java UNION ALL SELECT k, 'P' || k, 'items', NULL, 'FIELD', '"PRIVATE"' FROM java UNION ALL SELECT k, 'P' || k || '$In', 's', NULL, 'FIELD', '' FROM java WHERE fifth)
+ SELECT k AS path, '{{"file":"' || k || '","enclosingFQN":"shop.p.' || o || '","simpleName":"' || n || '"' || CASE WHEN d IS NULL THEN '' ELSE ',"vmsignature":"' || d || '"' END || ',"kind":"' || kind || '","modifiers":[' || m || ']}}' AS row FROM r""",
+    "q70_listed": f"WITH {_SOURCES} SELECT segment AS project, relative_path AS file, row_number() OVER (PARTITION BY segment ORDER BY relative_path) AS place FROM sources",
+    "q71_extractors": f"""WITH {_JAVA} SELECT 'imports' AS extractor, k AS path, 'import' AS key, 'java.util.List' AS value FROM java UNION ALL SELECT 'sizes', k, 'lines', CAST(length(content) - length(replace(content, chr(10), '')) AS VARCHAR) FROM java UNION ALL SELECT 'sizes', k, 'characters', CAST(length(content) AS VARCHAR) FROM java""",
 }

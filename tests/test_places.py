@@ -228,3 +228,24 @@ def test_documents(spark):
     got = {r.path: (r.tokens, r.types) for r in rules.documents(files).collect()}
     assert {"java.io.Serializable", "p.B", "p.A", "java.lang.CharSequence", "java.lang.Object"} <= set(got["A"][1]) and "CLASS" in got["A"][0] and "length" in got["A"][0]
     assert [r.path for r in rules.typed_search(files, rules.parse("$1.length();;"), ["java.io.Serializable"]).collect()] == ["A"]
+
+
+def test_extractors(spark):
+    from tesserae.operators import extractors
+
+    files = spark.createDataFrame([("A", "import static a.B.c;\nimport x.*;\nclass A {}")], "path string, content string")
+    got = sorted(map(tuple, extractors.extract(files, "imports", "sizes").collect()))
+    assert got == [("imports", "A", "import", "x.*"), ("imports", "A", "static", "a.B.c"), ("sizes", "A", "characters", "43"), ("sizes", "A", "lines", "2")]
+    with pytest.raises(KeyError):
+        extractors.extract(files, "none")
+    assert {"imports", "sizes"} <= set(extractors.known())
+
+
+def test_remote_exactness():
+    known = rules.parse("$1.a();;")
+    assert batch.exact_remote({"attributed", "spans"}, known) and not batch.exact_remote({"spans"}, known) and not batch.exact_remote({"attributed", "spans"}, known, imports=1)
+
+
+def test_listing(spark):
+    rows = spark.createDataFrame([("b", "2"), ("A", "3"), ("b", "1"), (None, "0")], "project string, file string")
+    assert [tuple(r) for r in display.listed(rows, "project", "file").collect()] == [("A", "3"), ("b", "1"), ("b", "2"), (None, "0")]
