@@ -846,6 +846,7 @@ def usages(files: DataFrame, declared: DataFrame) -> DataFrame:
     Rounds are as many as the longest chain of calls; a round joins the distinct types and names only.
     """
     ship(files.sparkSession)
+    declared = checkpointed(declared)
     all_ = checkpointed(with_library(declared))
     raw = checkpointed(files.select("path", "content").mapInPandas(_uses, _USED))
     types = all_.filter(F.col("kind").isin(*KINDS)).groupBy(F.col("name").alias("owner")).agg(F.min("element").alias("t_element"))

@@ -218,4 +218,6 @@ def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         part(fifth, " static class In { String s; boolean e() { return s.isEmpty(); } }\n"),
         F.lit("}\n"),
     ]
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("s"), text(k % 3)).alias("segment"), text(k).alias("path"), F.concat(*lines).alias("content"))
+    # keys are dealt out before sources are made of them: reading these is what takes time
+    keys = table(spark, sf_dir, "part").select("p_partkey").repartition(spark.sparkContext.defaultParallelism)
+    return keys.select(F.concat(F.lit("s"), text(k % 3)).alias("segment"), text(k).alias("path"), F.concat(*lines).alias("content"))
