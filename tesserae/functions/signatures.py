@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-_PRIMITIVE = {"V": "void", "Z": "boolean", "B": "byte", "S": "short", "I": "int", "J": "long", "C": "char", "F": "float", "D": "double"}
+#: Letters of the virtual machine's descriptors (fixed values).
+PRIMITIVE = {"void": "V", "boolean": "Z", "byte": "B", "short": "S", "int": "I", "long": "J", "char": "C", "float": "F", "double": "D"}
+_BY_LETTER = {v: k for k, v in PRIMITIVE.items()}
 
 
 class _Reader:
@@ -28,8 +30,8 @@ class _Reader:
 
     def type(self) -> str:
         c = self.take()
-        if c in _PRIMITIVE:
-            return _PRIMITIVE[c]
+        if c in _BY_LETTER:
+            return _BY_LETTER[c]
         if c == "[":
             return self.type() + "[]"
         if c == "T":

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Names of kinds, pictures and escapes in this module are fixed values of the formats that they belong to.
+
 FIELDS = ("FIELD", "ENUM_CONSTANT")
 
 

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.functions.signatures import PRIMITIVE
 from tesserae.operators import lookup, syntax
 from tesserae.operators.rounds import checkpointed
 from tesserae.operators.syntax import MODIFIERS, Node, Token, dotted, tokens
@@ -22,8 +23,6 @@ from tesserae.sources.shipping import ship
 
 __all__ = ["MODIFIERS", "Token", "tokens"]
 KINDS = ("CLASS", "INTERFACE", "ENUM", "ANNOTATION_TYPE", "RECORD")
-#: Letters of the virtual machine's descriptors (fixed values).
-PRIMITIVE = {"void": "V", "boolean": "Z", "byte": "B", "short": "S", "int": "I", "long": "J", "char": "C", "float": "F", "double": "D"}
 #: Names of java.lang that need no import (fixed values).
 _LANG = ("Appendable", "AutoCloseable", "Boolean", "Byte", "CharSequence", "Character", "Class", "ClassLoader", "Cloneable", "Comparable", "Deprecated", "Double", "Enum", "Error", "Exception", "Float", "FunctionalInterface", "IllegalArgumentException", "IllegalStateException", "IndexOutOfBoundsException", "Integer", "InterruptedException", "Iterable", "Long", "Math", "NullPointerException", "Number", "Object", "Override", "Process", "Readable", "Record", "Runnable", "RuntimeException", "SafeVarargs", "Short", "String", "StringBuffer", "StringBuilder", "SuppressWarnings", "System", "Thread", "Throwable", "UnsupportedOperationException", "Void")
 
