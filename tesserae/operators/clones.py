@@ -2,8 +2,9 @@
 
 Every tree below a file's root is spelled as the kinds of its nodes in order, with names
 as they are, but variables, parameters and private members numbered by their first
-place; its weight is the number of nodes without those; its hash is the first eight
-hex digits of the MD5 with the weight behind a colon. Trees of less than ten are left out.
+place; its weight is the number of nodes without those; its hash is the whole MD5 in
+hex with the weight behind a colon, as of eight digits different trees share some among
+a few hundred thousand (:func:`short_hash`). Trees of less than ten are left out.
 
 A group of equal trees is accepted if no accepted heavier group over the same files holds
 one of its trees inside its own first one. Which groups hold which comes from an equi-join
@@ -17,7 +18,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators import duplicates
@@ -85,11 +86,16 @@ def generalised(code: str, least: int = duplicates.MIN_WEIGHT) -> list[tuple[str
                 if up in weigh and weigh[up] != weigh[i]:
                     inside.append(weigh[up])
                 up = above[up]
-            mark = hashlib.md5("".join(text).encode()).hexdigest()[:8].upper()
+            mark = hashlib.md5("".join(text).encode()).hexdigest().upper()
             out.append((f"{mark}:{value}", value, *weigh[i], inside))
     return out
 
 
+def short_hash(hash_: Column) -> Column:
+    """The form with eight digits, for indexes that keep that; different trees may share it."""
+    return F.concat(F.substring(hash_, 1, 8), F.lit(":"), F.substring_index(hash_, ":", -1))
+
+
 def _fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []

@@ -86,6 +86,15 @@ def test_clones_across_indexes(spark):
     assert clones.accepted(both).count() == 1
 
 
+def test_trees_that_share_eight_digits_are_no_clones(spark):
+    one, two = (f"class A {{ void f(int a) {{ m{n}(a, a + 1, a + 2); }} }}" for n in (83054, 95930))
+    short = {h[:8] for code in (one, two) for h, *_ in clones.generalised(code)}
+    assert "ACB84A1F" in short and len(short) < len(clones.generalised(one)) + len(clones.generalised(two))
+    found = clones.fragments(spark.createDataFrame([("a", one), ("b", two)], "path string, content string"))
+    assert clones.accepted(found).isEmpty()
+    assert found.filter(clones.short_hash(F.col("hash")).startswith("ACB84A1F:")).count() == 2
+
+
 def slow_accepted(rows):
     """The greedy walk as it reads: heaviest first, each against all accepted ones."""
     by = {}
