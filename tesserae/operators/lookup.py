@@ -87,24 +87,36 @@ def narrowest(points: DataFrame, intervals: DataFrame, key: str, point: str) ->
 
 
 def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """child, ancestor and least depth over any number of steps, by repeated joins until nothing is new.
+    """child, ancestor and least depth over any number of steps, by joins that double what is reached until nothing is new.
 
-    Each round joins only what the last one found. Rounds are as many as the deepest chain; cycles end by themselves.
-    A caller may say how deep chains go at most; one that goes deeper is an error.
+    Pairs as far apart as was reached go on with all that are known, so a round gives each new pair about once, and rounds are
+    as many as the logarithm of the deepest chain; cycles end by themselves. A caller may say how deep chains go at most; one that
+    goes deeper is an error. What is joined can be large however little its size is taken to be, so it is never sent whole to all tasks.
     """
     from tesserae.operators.rounds import checkpointed
 
     found = checkpointed(edges.select("child", F.col("parent").alias("ancestor")).filter("child != ancestor").distinct().withColumn("depth", F.lit(1)))
-    front, depth = found, 1
-    step = checkpointed(edges.select(F.col("child").alias("via"), "parent").distinct())
+    reach = 1
     while True:
-        depth += 1
-        new = front.join(step, F.col("ancestor") == F.col("via")).select("child", F.col("parent").alias("ancestor")).filter("child != ancestor").distinct()
-        front = checkpointed(new.join(found, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
+        far = found.filter(F.col("depth") == reach).select(F.col("child").alias("low"), F.col("ancestor").alias("child"))
+        if far.isEmpty():
             return found
-        if max_depth is not None and depth > max_depth:
+        new = far.join(found.hint("merge"), "child").filter("low != ancestor").select(F.col("low").alias("child"), "ancestor", (F.col("depth") + reach).alias("depth"))
+        found = checkpointed(found.unionByName(new).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
+        reach *= 2
+        if max_depth is not None and reach > max_depth and not found.filter(F.col("depth") > max(max_depth, 1)).isEmpty():
             raise ValueError(f"a chain is longer than {max_depth}")
-        found = found.unionByName(front)
-        if depth % 8 == 0:  # a deep hierarchy is not a union of as many parts
-            found = checkpointed(found)
+
+
+def below(edges: DataFrame, top: DataFrame) -> DataFrame:
+    """ancestor and child for the given ancestors alone, and all that is below them at any depth; as :func:`closure`, from above. top: ancestor."""
+    from tesserae.operators.rounds import checkpointed
+
+    step = edges.select(F.col("child").alias("next"), F.col("parent").alias("child")).hint("merge")
+    front = checkpointed(top.select("ancestor", F.col("ancestor").alias("child")).distinct())
+    found = front.limit(0)
+    while not front.isEmpty():
+        new = front.join(step, "child").select("ancestor", F.col("next").alias("child")).filter("child != ancestor").distinct()
+        front = checkpointed(new.join(found.hint("merge"), ["ancestor", "child"], "left_anti"))
+        found = checkpointed(found.unionByName(front))
+    return found
