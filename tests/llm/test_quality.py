@@ -178,3 +178,17 @@ def test_no_labels_keep_all(spark, docs, labels):
     out = importance.classify(docs, labels.limit(0)).collect()
     assert all(o.kept == (o.log_weight is not None) for o in out)
     assert all(o.kept == (not o.base_failed) for o in quality_rules.judge(docs, labels.limit(0)).collect())
+
+
+def test_all_trusted_labels_are_used(spark, docs, monkeypatch):
+    n, seen, real = 100_500, {}, common.materialize
+
+    def kept(df, name):
+        out = real(df, name)
+        seen[name] = out
+        return out
+
+    monkeypatch.setattr(common, "materialize", kept)
+    many = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    quality_rules.judge(docs, many)
+    assert seen["trusted"].count() == n
